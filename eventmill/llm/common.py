@@ -57,6 +57,11 @@ def partitions_for(df: DataFrame, partition_bytes: int = PARTITION_BYTES) -> int
 
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
+    """`with_bucket`, dealt out by bucket."""
+    return with_bucket(docs, id_col, text_col, partitions).repartition(partitions, "_b")
+
+
+def with_bucket(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
     """Columns _b (bucket), _id (never null), _t (text, null as empty), _null (text was null), _row (the other columns).
 
     Rows without an id get one from their text at the upper end of the range, so they come after all others,
@@ -69,7 +74,7 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> Da
         F.coalesce(F.col(text_col), F.lit("")).alias("_t"),
         F.col(text_col).isNull().alias("_null"),
         F.struct(*rest).alias("_row"),
-    ).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(partitions * BUCKETS_PER_PARTITION)).cast("int")).repartition(partitions, "_b")
+    ).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(partitions * BUCKETS_PER_PARTITION)).cast("int"))
 
 
 def whole(a) -> pa.Array:
