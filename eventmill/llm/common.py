@@ -81,6 +81,19 @@ def whole(a) -> pa.Array:
     return a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
 
 
+def loose(a) -> pa.Array:
+    """A struct column whose fields may all be null, as the schemas given to Spark say."""
+    a = whole(a)
+    if isinstance(a, pa.ChunkedArray):
+        a = pa.concat_arrays(a.chunks) if a.num_chunks else pa.array([], a.type)
+    if not pa.types.is_struct(a.type):
+        return a
+    fields = [loose(x) for x in a.flatten()]
+    if not fields:
+        return a
+    return pa.StructArray.from_arrays(fields, names=[f.name for f in a.type], mask=a.is_null())
+
+
 def utf8(a) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a column of strings or binaries without nulls."""
     a = whole(a)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX1, bucketed, chunks, in_order, mix, owner, pack, partitions_for, persist, scatter, unpack, utf8, with_bucket, word_hashes
+from .common import MIX1, bucketed, chunks, in_order, loose, mix, owner, pack, partitions_for, persist, scatter, unpack, utf8, with_bucket, word_hashes
 from .components import components
 
 WIDTH, NUM, DEN = 5, 80, 100
@@ -90,7 +90,7 @@ def shingles_of(docs: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(data, off, width)
             n = [len(s) for s in sets]
             c = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([t.column("_b"), t.column("_id"), pa.array(n, pa.int64()), pa.array(c, pa.binary()), t.column("_row")], names=["_b", "_id", "_n", "_c", "_row"])
+            yield pa.RecordBatch.from_arrays([t.column("_b"), t.column("_id"), pa.array(n, pa.int64()), pa.array(c, pa.binary()), loose(t.column("_row"))], names=["_b", "_id", "_n", "_c", "_row"])
 
     return docs.mapInArrow(run, "_b int, _id long, _n long, _c binary, _row " + docs.schema["_row"].dataType.simpleString())
 
@@ -256,7 +256,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, group: int)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row: the input's columns but the text, n_shingles, component_id (the smallest id it is linked with, over any number of links)."""
+    """Per row: the input's columns but the text, n_shingles, component_id (the smallest id it is linked with, over any number of links), kept (that
+    is its own)."""
     partitions = partitions_for(docs)
     dealt = bucketed(docs, id_col, text_col, partitions)
     members = persist(shingles_of(with_bucket(docs, id_col, text_col, partitions), width))
@@ -266,5 +267,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a class whose representative also stands for another class (rows that repeat an id) is in one component with it
     reps = reps.join(comps, reps["_rep"] == comps["node"], "left").select("_c", F.coalesce("component", "_rep").alias("_comp"))
     out = members.join(reps, "_c", "left")
-    names = [c for c in docs.columns if c not in (text_col, "n_shingles", "component_id")]
-    return out.select(*[F.col("_row")[c].alias(c) for c in names], F.col("_n").alias("n_shingles"), F.coalesce("_comp", "_id").alias("component_id"))
+    names = [c for c in docs.columns if c not in (text_col, "n_shingles", "component_id", "kept")]
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], F.col("_n").alias("n_shingles"), F.coalesce("_comp", "_id").alias("component_id"), (F.coalesce("_comp", "_id") == F.col("_id")).alias("kept"))

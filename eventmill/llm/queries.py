@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, lines, media, packing, repeats, urls
+from . import bpe, embeddings, jaccard, language, lines, media, packing, repeats, scoring, urls
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -25,14 +25,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.corpus_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).drop("n_tried")
 
@@ -42,6 +54,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_bpe_round_trip, op3_packing, op6_jaccard_join, op7_line_dedup, op9_url_filter, op10_media_columns)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_bpe_round_trip, op3_packing, op4_language_id, op5_embedding_near_dedup,
+        op6_jaccard_join, op7_line_dedup, op8_lm_scoring, op9_url_filter, op10_media_columns,
+    )
 }
 ORACLE = {"op7_line_dedup": lines.LINES_SQL, "op9_url_filter": urls.URLS_SQL}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, _RANDOM, bucketed, chunks, in_order, mix, owner, pack, partitions_for, scatter, unpack, utf8, virtual_starts
+from .common import RangeHash, _RANDOM, bucketed, chunks, in_order, loose, mix, owner, pack, partitions_for, scatter, unpack, utf8, virtual_starts
 from .suffixes import equal_prefix_groups, ranges
 
 LEAST, K = 100, 32
@@ -278,18 +278,17 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
     return opened.repartition(partitions, "_p").groupBy("_p").applyInArrow(expand, "_b int, _x binary").repartition(partitions, "_b")
 
 
-RESULTS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "spans": "array<struct<start: long, end: long>>", "kept": "binary", "kept_sha256": "string"}
+RESULTS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "spans": "array<struct<start: long, end: long>>", "kept": "binary", "kept_text": "string"}
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = K, keep_text: bool = True, hot: int = HOT) -> DataFrame:
-    """Input columns but the text, and n_bytes, n_removed, n_spans, spans (removed byte ranges), kept (the bytes that stay, if `keep_text`; null
-    where the text is null), kept_sha256."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = K, keep: tuple[str, ...] = ("spans", "kept"), hot: int = HOT) -> DataFrame:
+    """Input columns but the text, and n_bytes, n_removed, n_spans, kept_sha256, and those of `keep`: spans (removed byte ranges), kept (the bytes
+    that stay), kept_text (these as text, less characters that lost a part); the last two are null where the text is."""
     partitions = partitions_for(docs)
     dealt = bucketed(docs, id_col, text_col, partitions)
     spans = repeated_ranges(dealt, partitions, least, k, hot)
     names = [c for c in docs.columns if c != text_col and c not in RESULTS]
-    results = [c for c in RESULTS if keep_text or c != "kept"]
-    struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *keep]
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         t, data, off, _, _ = bucket_arrays(left)
@@ -313,11 +312,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "n_removed": pa.array(removed),
             "n_spans": pa.array(spans.astype(np.int64)),
             "spans": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(spans))).astype(np.int32)), pa.StructArray.from_arrays([pa.array(first), pa.array(last)], names=["start", "end"])),
-            "kept": pa.array([None if z else x for x, z in zip(texts, null, strict=True)], pa.binary()),
+            "kept": pa.array([None if z else x for x, z in zip(texts, null, strict=True)], pa.binary()) if "kept" in keep else None,
+            "kept_text": pa.array([None if z else x.decode("utf-8", "ignore") for x, z in zip(texts, null, strict=True)], pa.string()) if "kept_text" in keep else None,
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
         }
-        assert made["spans"].type == struct
-        return pa.table({"_row": t.column("_row"), **{c: made[c] for c in results}})
+        return pa.table({"_row": loose(t.column("_row")), **{c: made[c] for c in results}})
 
     schema = ", ".join(["_row " + dealt.schema["_row"].dataType.simpleString(), *(f"{c} {RESULTS[c]}" for c in results)])
     out = dealt.groupBy("_b").cogroup(spans.groupBy("_b")).applyInArrow(cut, schema)
@@ -325,7 +324,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:
-    out = remove_repeats(docs.select("doc_id", "text"), keep_text=False)
+    out = remove_repeats(docs.select("doc_id", "text"), keep=())
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
