@@ -300,7 +300,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mark[off[row] + first] += 1
         ends = np.zeros(len(data) + 1, np.int8)
         ends[off[row] + last] += 1
-        keep = np.cumsum(mark[:-1].astype(np.int32) - ends[:-1]) == 0
+        stays = np.cumsum(mark[:-1].astype(np.int32) - ends[:-1]) == 0
         kept = data[stays]
         removed = np.bincount(row, weights=last - first, minlength=n).astype(np.int64)
         spans = np.bincount(row, minlength=n)
