@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue_queries
+from . import catalogue_queries, golden_queries
 
-MODULES = (catalogue_queries,)
+MODULES = (catalogue_queries, golden_queries)
 
 
 def queries() -> dict:
