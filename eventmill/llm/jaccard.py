@@ -4,8 +4,9 @@ Sets of similarity s or more share a token within the first n - ceil(s n) + 1 to
 So a pair must share a prefix token under each of several different orders.
 
 1. Documents with the same set of shingles are one class (by 128 bits of the sorted set); the smallest id stands for it.
-2. Order A is by hash: prefixes go to the tokens' owners, and a document none of whose prefix tokens occurs in another
-   class is out.  Most are.
+2. Order A is by hash.  Prefixes longer by l tokens share at least l, so with l about a sixteenth of the set, prefixes go to the
+   tokens' owners, and a document of which fewer than l prefix tokens occur in another class is out.  Most are, with
+   those that share no more than a passage with others.
 3. Of those that stay, all tokens go to their owners, which answer in how many classes each occurs.  A document in which fewer than s n
    tokens occur twice is out.
 4. Orders B1 .. B3 put rare tokens first (by powers of two of that number) and break ties by different hashes.  Under B1, the
@@ -70,6 +71,16 @@ def prefix_size(n, num: int, den: int):
     return n - (num * n + den - 1) // den + 1
 
 
+def spare(n):
+    """By how many tokens order A's prefix of a set of n is longer, and so shares more than one."""
+    return n // 16
+
+
+def least_shared(n, num: int, den: int):
+    """Tokens that order A's prefix of a set of n shares at least with that of any similar set, the smallest of which has ceil(s n)."""
+    return 1 + spare((num * n + den - 1) // den)
+
+
 def rare_first(tokens: np.ndarray, level: np.ndarray, seed: int) -> np.ndarray:
     """Positions of tokens in the order (level, hash by seed)."""
     return np.lexsort((mix(tokens ^ SEEDS[seed]), level))
@@ -107,7 +118,7 @@ def reps_of(t: pa.Table, reps: pa.Table, width: int) -> tuple[np.ndarray, list[n
 
 def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: int, num: int, den: int, group: int = GROUP) -> DataFrame:
     """Links (a, b) between representatives, of which the components are those of all links. docs: bucketed; members: `shingles_of`."""
-    reps = members.filter("_n > 0").groupBy("_c").agg(F.min(F.struct("_id", "_b")).alias("r")).select("r._id", "r._b").distinct()
+    reps = members.filter("_n > 0").groupBy("_c").agg(F.min(F.struct("_id", "_b", "_n")).alias("r")).select("r.*")
     reps = persist(reps.repartition(partitions, "_b"))
 
     def by_owner(ids: np.ndarray, tokens: list[np.ndarray], bucket: int) -> pa.Table:
@@ -125,7 +136,7 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
 
     def prefixes(t: pa.Table, some: pa.Table) -> pa.Table:
         ids, sets, b = docs_with(t, some)
-        return by_owner(ids, [s[: prefix_size(len(s), num, den)] for s in sets], b)
+        return by_owner(ids, [s[: prefix_size(len(s), num, den) + spare(len(s))] for s in sets], b)
 
     def counts(t: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray]:
         """(bucket, entries) of each blob, and for each entry in how many documents its token occurs."""
@@ -142,17 +153,22 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
             own = n[a : a + len(p[0])]
             a += len(p[0])
             doc = np.cumsum(np.concatenate((p[1].astype(np.int64), p[2].astype(np.int64))))
-            hit = np.unique(doc[own > 1])
+            hit, times = np.unique(doc[own > 1], return_counts=True)
             if len(hit):
-                bs.append(b), out.append(pack(hit))
+                bs.append(b), out.append(pack(hit, times))
         return pa.table({"_b": pa.array(bs, pa.int32()), "_x": pa.array(out, pa.binary())})
 
     def stay(t: pa.Table, hits: pa.Table) -> pa.Table:
-        """Ids of the representatives that share a prefix token. t: the bucket's, by id."""
-        ids = np.unique(t.column("_id").to_numpy()) if t.num_rows else np.zeros(0, np.int64)
-        parts = [unpack(x)[0].astype(np.int64) for x in hits.column("_x").to_pylist()]
-        own = ids[np.unique(np.concatenate(parts))] if parts and len(ids) else ids[:0]
-        return pa.table({"_id": pa.array(own), "_b": pa.array([t.column("_b")[0].as_py() if len(own) else 0] * len(own), pa.int32())})
+        """Ids of the representatives that share enough prefix tokens. t: the bucket's."""
+        if not t.num_rows:
+            return pa.table({"_id": pa.array([], pa.int64()), "_b": pa.array([], pa.int32())})
+        ids, back = np.unique(t.column("_id").to_numpy(), return_inverse=True)
+        n, times = np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
+        np.minimum.at(n, back, t.column("_n").to_numpy())
+        for at, k in (unpack(x) for x in hits.column("_x").to_pylist()):
+            times[at] += k.astype(np.int64)
+        own = ids[times >= least_shared(n, num, den)]
+        return pa.table({"_id": pa.array(own), "_b": pa.array([t.column("_b")[0].as_py()] * len(own), pa.int32())})
 
     def all_tokens(t: pa.Table, some: pa.Table) -> pa.Table:
         ids, sets, b = docs_with(t, some)
