@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue_queries, golden_queries
+from . import catalogue_queries, golden_queries, run_queries
 
-MODULES = (catalogue_queries, golden_queries)
+MODULES = (catalogue_queries, golden_queries, run_queries)
 
 
 def queries() -> dict:
