@@ -159,4 +159,4 @@ def test_calendar_files(spark, tmp_path):
     e = build.with_clocks(rows(spark, {"title": "A; b, c"}, {"id": "x", "anytime": True}))
     sinks.write_calendar(e.coalesce(1), str(tmp_path / "cal"), "20260601T000000Z")
     text = next((tmp_path / "cal").glob("part*")).read_bytes().decode()
-    assert text.count("BEGIN:VEVENT") == 1 and "SUMMARY:A\; b\\, c" in text and "DTEND:20260605T200000Z" in text
+    assert text.count("BEGIN:VEVENT") == 1 and "SUMMARY:A\\; b\\, c" in text and "DTEND:20260605T200000Z" in text
