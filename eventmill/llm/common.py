@@ -77,6 +77,14 @@ def with_bucket(docs: DataFrame, id_col: str, text_col: str, partitions: int) ->
     ).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(partitions * BUCKETS_PER_PARTITION)).cast("int"))
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` with keys (long) that the planner doesn't know to be dealt already, undone by `~` on the other side.
+
+    The result of an aggregate is joined where it lies, and then adaptive execution can't split a hot key of the other side. A join on these keys
+    deals both sides for the join alone, where it can; the aggregate is the small side."""
+    return df.select(*[F.bitwise_not(F.col(c)).alias(c) if c in keys else F.col(c) for c in df.columns])
+
+
 def whole(a) -> pa.Array:
     return a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
 

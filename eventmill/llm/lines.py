@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import dealt_anew
+
 #: Fixed by the contract: white space stripped from both ends of a line.
 STRIP = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,9 +51,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.col("_n") >= min_docs)
     )
     drops = (
-        own.join(shared, ["_a", "_c"])
+        dealt_anew(own, "_a").join(dealt_anew(shared, "_a"), ["_a", "_c"])
         .filter(~F.col("_id").eqNullSafe(F.col("_last")))
-        .groupBy("_id").agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_c").alias("b"))).alias("_drop"))
+        .groupBy("_id").agg(F.collect_set(F.struct(F.bitwise_not("_a").alias("a"), F.col("_c").alias("b"))).alias("_drop"))
     )
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_key"))
     joined = rows.join(drops, F.col("_key").eqNullSafe(F.col("_id")), "left")
