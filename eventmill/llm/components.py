@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist
+from .common import dealt_anew, persist
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,9 +21,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = dealt_anew(both, "u").join(dealt_anew(low, "u"), "u").filter(F.col("v") > F.bitwise_not("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v")))
+        small = dealt_anew(large, "u").join(dealt_anew(low, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v")))
         edges = persist(small.filter("u != v").distinct())
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX1, bucketed, chunks, in_order, loose, mix, owner, pack, partitions_for, persist, scatter, unpack, utf8, with_bucket, word_hashes
+from .common import MIX1, bucketed, chunks, dealt_anew, in_order, loose, mix, owner, pack, partitions_for, persist, scatter, unpack, utf8, with_bucket, word_hashes
 from .components import components
 
 WIDTH, NUM, DEN = 5, 80, 100
@@ -222,13 +222,13 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
 
     entries = found.select("_id", "_n", F.explode("_pre").alias("_tok"))
     leaders = entries.groupBy("_tok").agg(F.min("_id").alias("_lead"), F.max("_id").alias("_most")).filter("_lead != _most").select("_tok", "_lead")
-    pairs = entries.join(leaders, "_tok").filter("_id != _lead").select(F.col("_lead").alias("_a"), F.col("_id").alias("_z")).distinct()
+    pairs = dealt_anew(entries, "_tok").join(dealt_anew(leaders, "_tok"), "_tok").filter("_id != _lead").select(F.col("_lead").alias("_a"), F.col("_id").alias("_z")).distinct()
     links = persist(verified(pairs, found, num, den, group))
     # what the leaders' links leave apart: pairs of a token in different components
     comps = components(links, "_a", "_z")
     labelled = entries.join(comps, entries["_id"] == comps["node"], "left").select("_tok", "_id", "_n", F.coalesce("component", "_id").alias("_comp"))
     apart = labelled.groupBy("_tok").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.min("_id").alias("_lead")).filter("lo != hi").select("_tok", "_lead")
-    rest = labelled.join(apart, "_tok").filter("_id != _lead")  # the leader has been compared with all
+    rest = dealt_anew(labelled, "_tok").join(dealt_anew(apart, "_tok"), "_tok").filter("_id != _lead")  # the leader has been compared with all
     x, y = rest.alias("x"), rest.alias("y")
     fits = (F.col("x._n") * num <= F.col("y._n") * den) & (F.col("y._n") * num <= F.col("x._n") * den)
     more = x.join(y, (F.col("x._tok") == F.col("y._tok")) & (F.col("x._id") < F.col("y._id")) & (F.col("x._comp") != F.col("y._comp")) & fits)
