@@ -118,86 +118,61 @@ def reps_of(t: pa.Table, reps: pa.Table, width: int) -> tuple[np.ndarray, list[n
 
 def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: int, num: int, den: int, group: int = GROUP) -> DataFrame:
     """Links (a, b) between representatives, of which the components are those of all links. docs: bucketed; members: `shingles_of`."""
-    reps = members.filter("_n > 0").groupBy("_c").agg(F.min(F.struct("_id", "_b", "_n")).alias("r")).select("r.*")
+    reps = members.filter("_n > 0").groupBy("_c").agg(F.min(F.struct("_id", "_b")).alias("r")).select("r.*")
     reps = persist(reps.repartition(partitions, "_b"))
 
-    def by_owner(ids: np.ndarray, tokens: list[np.ndarray], bucket: int) -> pa.Table:
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        doc = np.repeat(np.unique(ids, return_inverse=True)[1], [len(x) for x in tokens])
-        order, where, cut = scatter(owner(flat, partitions))
-        out = [pack(flat[e], doc[e[:1]], np.diff(doc[e])) for e in (order[cut[i] : cut[i + 1]] for i in range(len(where)))]
-        return pa.table({"_p": pa.array(where, pa.int32()), "_from": pa.array([bucket] * len(out), pa.int32()), "_x": pa.array(out, pa.binary())})
-
-    def docs_with(t: pa.Table, some: pa.Table) -> tuple[np.ndarray, list[np.ndarray], int]:
-        if not t.num_rows or not some.num_rows:
-            return np.zeros(0, np.int64), [], 0
-        ids, sets = reps_of(t, some, width)
-        return ids, sets, t.column("_b")[0].as_py()
-
-    def prefixes(t: pa.Table, some: pa.Table) -> pa.Table:
-        ids, sets, b = docs_with(t, some)
-        return by_owner(ids, [s[: prefix_size(len(s), num, den) + spare(len(s))] for s in sets], b)
-
-    def counts(t: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """(bucket, entries) of each blob, and for each entry in how many documents its token occurs."""
-        rows = sorted(zip(t.column("_from").to_pylist(), t.column("_x").to_pylist(), strict=True))
-        parts = [unpack(x) for _, x in rows]
-        flat = np.concatenate([p[0].astype(np.uint64) for p in parts])
-        _, back, n = np.unique(flat, return_inverse=True, return_counts=True)
-        return [(b, p) for (b, _), p in zip(rows, parts, strict=True)], n[back]
-
-    def shared(t: pa.Table) -> pa.Table:
-        rows, n = counts(t)
-        bs, out, a = [], [], 0
-        for b, p in rows:
-            own = n[a : a + len(p[0])]
-            a += len(p[0])
-            doc = np.cumsum(np.concatenate((p[1].astype(np.int64), p[2].astype(np.int64))))
-            hit, times = np.unique(doc[own > 1], return_counts=True)
-            if len(hit):
-                bs.append(b), out.append(pack(hit, times))
-        return pa.table({"_b": pa.array(bs, pa.int32()), "_x": pa.array(out, pa.binary())})
-
-    def stay(t: pa.Table, hits: pa.Table) -> pa.Table:
-        """Ids of the representatives that share enough prefix tokens. t: the bucket's."""
-        if not t.num_rows:
-            return pa.table({"_id": pa.array([], pa.int64()), "_b": pa.array([], pa.int32())})
-        ids, back = np.unique(t.column("_id").to_numpy(), return_inverse=True)
-        n, times = np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), np.int64)
-        np.minimum.at(n, back, t.column("_n").to_numpy())
-        for at, k in (unpack(x) for x in hits.column("_x").to_pylist()):
-            times[at] += k.astype(np.int64)
-        own = ids[times >= least_shared(n, num, den)]
-        return pa.table({"_id": pa.array(own), "_b": pa.array([t.column("_b")[0].as_py()] * len(own), pa.int32())})
-
-    def all_tokens(t: pa.Table, some: pa.Table) -> pa.Table:
-        ids, sets, b = docs_with(t, some)
-        return by_owner(ids, sets, b)
+    def docs_with(t: pa.Table, right: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Ids and sets of a bucket's documents that are named in `right`."""
+        some = right.filter(pc.is_valid(right.column("_id"))) if right.num_rows else right
+        return reps_of(t, some, width) if t.num_rows and some.num_rows else (np.zeros(0, np.int64), [])
+
+    def front(sets: list[np.ndarray]) -> list[np.ndarray]:
+        return [s[: prefix_size(len(s), num, den) + spare(len(s))] for s in sets]
+
+    def by_owner(tokens: list[np.ndarray]):
+        """A bucket's distinct tokens with how many of its documents have them, dealt out; and each document's places among them."""
+        flat, back, n = np.unique(np.concatenate(tokens) if tokens else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+        return flat, n, np.split(back, np.cumsum([len(x) for x in tokens])[:-1]) if tokens else [], *scatter(owner(flat, partitions))
+
+    def sent(part):
+        def entries(t: pa.Table, right: pa.Table) -> pa.Table:
+            flat, n, _, order, where, cut = by_owner(part(docs_with(t, right)[1]))
+            out = [pack(flat[e], n[e]) for e in (order[cut[i] : cut[i + 1]] for i in range(len(where)))]
+            return pa.table({"_p": pa.array(where, pa.int32()), "_from": pa.array([t.column("_b")[0].as_py() if out else 0] * len(out), pa.int32()), "_x": pa.array(out, pa.binary())})
+
+        return entries
 
     def levels(t: pa.Table) -> pa.Table:
+        """Of each entry: 0 if its token is in one document only, else the power of two of their number."""
         here = t.column("_p")[0].as_py()
-        rows, n = counts(t)
-        level = np.where(n > 1, np.ceil(np.log2(np.maximum(n, 1))), 0).astype(np.uint8)  # 0: in one document only
-        bs, out, a = [], [], 0
-        for b, p in rows:
-            bs.append(b), out.append(pack(level[a : a + len(p[0])]))
-            a += len(p[0])
-        return pa.table({"_b": pa.array(bs, pa.int32()), "_p": pa.array([here] * len(bs), pa.int32()), "_x": pa.array(out, pa.binary())})
-
-    def indexed(t: pa.Table, right: pa.Table) -> pa.Table:
-        """Of documents with enough common tokens: id, n, prefix tokens under B1, and the common tokens with their levels."""
-        some = right.filter(pc.is_valid(right.column("_id"))) if right.num_rows else right
-        ids, sets, _ = docs_with(t, some)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        rows = sorted(zip(t.column("_from").to_pylist(), t.column("_x").to_pylist(), strict=True))
+        parts = [unpack(x) for _, x in rows]
+        flat, back = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([p[1].astype(np.int64) for p in parts]), minlength=len(flat))[back]
+        level = np.where(n > 1, np.ceil(np.log2(np.maximum(n, 1))), 0).astype(np.uint8)
+        out = [pack(x) for x in np.split(level, np.cumsum([len(p[0]) for p in parts])[:-1])]
+        return pa.table({"_b": pa.array([b for b, _ in rows], pa.int32()), "_p": pa.array([here] * len(out), pa.int32()), "_x": pa.array(out, pa.binary())})
+
+    def answered(tokens: list[np.ndarray], right: pa.Table) -> list[np.ndarray]:
+        """The levels of each document's tokens."""
+        flat, _, places, order, where, cut = by_owner(tokens)
         level = np.zeros(len(flat), np.uint8)
-        order, where, cut = scatter(owner(flat, partitions))
         got = {p: x for p, x in zip(right.column("_p").to_pylist(), right.column("_x").to_pylist(), strict=True) if x is not None}
         for i, p in enumerate(where.tolist()):
             level[order[cut[i] : cut[i + 1]]] = unpack(got[p])[0]
-        out, a = {"_id": [], "_n": [], "_pre": [], "_common": []}, 0
-        for doc, s in zip(ids.tolist(), sets, strict=True):
-            lv = level[a : a + len(s)]
-            a += len(s)
+        return [level[x] for x in places]
+
+    def stay(t: pa.Table, right: pa.Table) -> pa.Table:
+        """Ids of the representatives that share enough prefix tokens."""
+        ids, sets = docs_with(t, right)
+        own = [i for i, s, lv in zip(ids.tolist(), sets, answered(front(sets), right), strict=True) if np.count_nonzero(lv) >= least_shared(len(s), num, den)]
+        return pa.table({"_id": pa.array(sorted(set(own)), pa.int64()), "_b": pa.array([t.column("_b")[0].as_py() if own else 0] * len(set(own)), pa.int32())})
+
+    def indexed(t: pa.Table, right: pa.Table) -> pa.Table:
+        """Of documents with enough common tokens: id, n, prefix tokens under B1, and the common tokens with their levels."""
+        ids, sets = docs_with(t, right)
+        out = {"_id": [], "_n": [], "_pre": [], "_common": []}
+        for doc, s, lv in zip(ids.tolist(), sets, answered(sets, right), strict=True):
             n, k = len(s), int(np.count_nonzero(lv))
             if den * k < num * n:
                 continue
@@ -210,15 +185,18 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
             out["_common"].append(pack(common, lv))
         return pa.table({"_id": pa.array(out["_id"], pa.int64()), "_n": pa.array(out["_n"], pa.int64()), "_pre": pa.array(out["_pre"], pa.list_(pa.int64())), "_common": pa.array(out["_common"], pa.binary())})
 
-    blob, hit = "_p int, _from int, _x binary", "_b int, _x binary"
     text = docs.select("_b", "_id", "_t")
-    both = lambda some: text.groupBy("_b").cogroup(some.groupBy("_b"))
-    first = both(reps).applyInArrow(prefixes, blob).repartition(partitions, "_p").groupBy("_p").applyInArrow(shared, hit)
-    left = persist(reps.groupBy("_b").cogroup(first.repartition(partitions, "_b").groupBy("_b")).applyInArrow(stay, "_id long, _b int").repartition(partitions, "_b"))
-    level = both(left).applyInArrow(all_tokens, blob).repartition(partitions, "_p").groupBy("_p").applyInArrow(levels, "_b int, _p int, _x binary")
-    none = lambda kind: F.lit(None).cast(kind)
-    answers = level.select("_b", none("long").alias("_id"), "_p", "_x").union(left.select("_b", "_id", none("int"), none("binary"))).repartition(partitions, "_b")
-    found = persist(both(answers).applyInArrow(indexed, "_id long, _n long, _pre array<long>, _common binary"))
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def asked(some: DataFrame, part) -> DataFrame:
+        """Of the buckets of documents in `some` (_id, _b): those, and the owners' answers on their tokens."""
+        ids = some.select("_b", "_id", null("int").alias("_p"), null("binary").alias("_x")).repartition(partitions, "_b")
+        blobs = text.groupBy("_b").cogroup(ids.groupBy("_b")).applyInArrow(sent(part), "_p int, _from int, _x binary")
+        level = blobs.repartition(partitions, "_p").groupBy("_p").applyInArrow(levels, "_b int, _p int, _x binary")
+        return level.select("_b", null("long").alias("_id"), "_p", "_x").union(some.select("_b", "_id", null("int"), null("binary"))).repartition(partitions, "_b")
+
+    left = persist(text.groupBy("_b").cogroup(asked(reps, front).groupBy("_b")).applyInArrow(stay, "_id long, _b int").repartition(partitions, "_b"))
+    found = persist(text.groupBy("_b").cogroup(asked(left, lambda sets: sets).groupBy("_b")).applyInArrow(indexed, "_id long, _n long, _pre array<long>, _common binary"))
 
     entries = found.select("_id", "_n", F.explode("_pre").alias("_tok"))
     leaders = entries.groupBy("_tok").agg(F.min("_id").alias("_lead"), F.max("_id").alias("_most")).filter("_lead != _most").select("_tok", "_lead")

@@ -4,9 +4,10 @@ No machine can sort the suffixes of 100 TB, so the windows of `least` bytes are
 meet: a window goes by its minimiser, the K-byte string inside it with the smallest hash.  Consecutive windows with one
 minimiser travel as one segment.
 
-1. Each bucket of documents sends (minimiser hash, segment hash) of its distinct segments to the hash's owner (13 bytes
-   a segment, about one for 35 bytes of text).
-2. The owner tells: a segment that occurs earlier is all repeated; one whose minimiser occurs in no other segment isn't
+1. Each bucket of documents sends the hashes of its distinct segments to the owners of those, and its distinct minimisers to the
+   owners of these (about 17 and 14 bytes, for 35 bytes of text).  So an owner gets an entry from each bucket at most, however
+   common a passage is.
+2. The owners tell: a segment that occurs earlier is all repeated; one whose minimiser occurs in no other segment isn't
    repeated at all; the first of each of the others is *open*.  Open segments are those around the ends of shared passages.
 3. Only open segments travel as bytes.  Each block runs the threshold-bounded interval expansion over its Burrows-Wheeler
    transform (`suffixes`); all but the first of each group of windows are repeated.  For a minimiser with more than HOT open segments
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, _RANDOM, bucketed, chunks, in_order, loose, mix, owner, pack, partitions_for, scatter, unpack, utf8, virtual_starts
+from .common import MIX2, _RANDOM, RangeHash, bucketed, chunks, in_order, loose, mix, owner, pack, partitions_for, scatter, unpack, utf8, virtual_starts
 from .suffixes import equal_prefix_groups, ranges
 
 LEAST, K = 100, 32
@@ -117,27 +118,39 @@ def joined(parts: list[list[np.ndarray]], i: int, kind=np.int64) -> np.ndarray:
     return np.concatenate([p[i].astype(kind) for p in parts]) if parts else np.zeros(0, kind)
 
 
-def resolve(blobs: list[tuple[int, bytes]], hot: int) -> list[tuple[int, np.ndarray]]:
-    """Classes of the entries of each blob."""
-    parts = [unpack(b) for _, b in blobs]
-    sizes = [len(p[0]) for p in parts]
+def content_ids(key: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """64 bits of (minimiser, content), by which contents are dealt; with the content's own 40 bits they are taken for equal."""
+    with np.errstate(over="ignore"):
+        return mix(key + content * MIX2)
+
+
+def earlier(parts: list[list[np.ndarray]]) -> np.ndarray:
+    """For content entries (id, low, high, start, first document, steps of documents): whether the content occurs before."""
     key, content = joined(parts, 0, np.uint64), joined(parts, 1, np.uint64) | joined(parts, 2, np.uint64) << np.uint64(32)
     start = joined(parts, 3)
     doc = np.concatenate([np.cumsum(np.concatenate((p[4].astype(np.int64), p[5].astype(np.int64)))) for p in parts])
     o = np.argsort(key, kind="stable")
     s = key[o]
     group = np.cumsum(np.concatenate(([True], s[1:] != s[:-1]))) - 1
-    kind = np.zeros(len(key), np.uint8)
-    o = o[np.bincount(group)[group] > 1]  # most minimisers occur once
+    out = np.zeros(len(key), np.uint8)
+    o = o[np.bincount(group)[group] > 1]  # most occur once
     if len(o):
         o = o[np.lexsort((start[o], doc[o], content[o], key[o]))]
-        new_key = np.concatenate(([True], key[o][1:] != key[o][:-1]))
-        new = new_key | np.concatenate(([True], content[o][1:] != content[o][:-1]))
-        group = np.cumsum(new_key) - 1
-        distinct = np.bincount(group, weights=new)[group]
-        kind[o] = np.where(~new, EARLIER, np.where(distinct > hot, MANY, np.where(distinct > 1, OPEN, 0)))
-    cuts = np.cumsum(sizes)[:-1]
-    return [(b, k) for (b, _), k in zip(blobs, np.split(kind, cuts), strict=True)]
+        out[o[1:]] = (key[o][1:] == key[o][:-1]) & (content[o][1:] == content[o][:-1])
+    return out
+
+
+def differing(parts: list[list[np.ndarray]], hot: int) -> np.ndarray:
+    """For minimiser entries (key, low, high, distinct contents in the bucket): OPEN if there are several contents, MANY if over `hot`, else 0."""
+    key, content, n = joined(parts, 0, np.uint64), joined(parts, 1, np.uint64) | joined(parts, 2, np.uint64) << np.uint64(32), joined(parts, 3)
+    o = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[o][1:] != key[o][:-1]))
+    group, cut = np.cumsum(new) - 1, np.flatnonzero(new)
+    total = np.add.reduceat(n[o], cut)
+    several = (np.maximum.reduceat(n[o], cut) > 1) | (np.maximum.reduceat(content[o], cut) != np.minimum.reduceat(content[o], cut))
+    out = np.zeros(len(key), np.uint8)
+    out[o] = np.where(several, np.where(total > hot, MANY, OPEN), 0)[group]
+    return out
 
 
 def runs(start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,21 +197,47 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
         bucket = t.column("_b")[0].as_py()
         _, data, off, ids, place = bucket_arrays(t)
         s = Segments(data, off, least, k)
-        key, content, row = s.key[s.lead], s.content[s.lead], s.row[s.lead]
+        row = s.row[s.lead]
         at = s.start[s.lead] - off[row] + place[row]
-        order, where, cut = scatter(owner(key, partitions))
-        out = []
-        for i in range(len(where)):
+        to, kinds, out = [], [], []
+        cid, content, order, where, cut = by_content(s)
+        for i, p in enumerate(where.tolist()):
             e = order[cut[i] : cut[i + 1]]
-            low, high, doc = (content[e] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (content[e] >> np.uint64(32)).astype(np.uint8), ids[row[e]]
-            out.append(pack(key[e], low, high, at[e], doc[:1], np.diff(doc)))
-        return pa.table({"_p": pa.array(where, pa.int32()), "_from": pa.array([bucket] * len(out), pa.int32()), "_x": pa.array(out, pa.binary())})
+            doc = ids[row[e]]
+            to.append(p), kinds.append(0), out.append(pack(cid[e], *halves(content[e]), at[e], doc[:1], np.diff(doc)))
+        key, any_content, n, order, where, cut = by_key(s)
+        for i, p in enumerate(where.tolist()):
+            e = order[cut[i] : cut[i + 1]]
+            to.append(p), kinds.append(1), out.append(pack(key[e], *halves(any_content[e]), n[e]))
+        return pa.table({"_p": pa.array(to, pa.int32()), "_from": pa.array([bucket] * len(out), pa.int32()), "_kind": pa.array(kinds, pa.int32()), "_x": pa.array(out, pa.binary())})
+
+    def by_content(s: Segments):
+        """Leading segments' content ids and contents, dealt out."""
+        content = s.content[s.lead]
+        cid = content_ids(s.key[s.lead], content)
+        return cid, content, *scatter(owner(cid, partitions))
+
+    def by_key(s: Segments):
+        """Distinct minimisers, one content of each and how many it has, dealt out."""
+        key, first, n = np.unique(s.key[s.lead], return_index=True, return_counts=True)
+        return key, s.content[s.lead][first], n, *scatter(owner(key, partitions))
+
+    def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8)
 
     def answer(t: pa.Table) -> pa.Table:
         here = t.column("_p")[0].as_py()
-        rows = sorted(zip(t.column("_from").to_pylist(), t.column("_x").to_pylist(), strict=True))
-        got = [(b, pack(kind)) for b, kind in resolve(rows, hot) if kind.any()]
-        return pa.table({"_b": pa.array([b for b, _ in got], pa.int32()), "_p": pa.array([here] * len(got), pa.int32()), "_x": pa.array([x for _, x in got], pa.binary())})
+        rows = sorted(zip(t.column("_kind").to_pylist(), t.column("_from").to_pylist(), t.column("_x").to_pylist(), strict=True))
+        bs, kinds, out = [], [], []
+        for kind in (0, 1):
+            own = [(b, unpack(x)) for k, b, x in rows if k == kind]
+            parts = [p for _, p in own]
+            if parts:
+                got = earlier(parts) if kind == 0 else differing(parts, hot)
+                for (b, _), x in zip(own, np.split(got, np.cumsum([len(p[0]) for p in parts])[:-1]), strict=True):
+                    if x.any():
+                        bs.append(b), kinds.append(kind), out.append(pack(x))
+        return pa.table({"_b": pa.array(bs, pa.int32()), "_p": pa.array([here] * len(bs), pa.int32()), "_kind": pa.array(kinds, pa.int32()), "_x": pa.array(out, pa.binary())})
 
     def open_up(left: pa.Table, right: pa.Table) -> pa.Table:
         to, out, what = [], [], []
@@ -207,11 +246,18 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
             _, data, off, ids, place = bucket_arrays(left)
             s = Segments(data, off, least, k)
             kind = np.zeros(len(s.key), np.uint8)
-            order, where, cut = scatter(owner(s.key[s.lead], partitions))
-            classes = dict(zip(right.column("_p").to_pylist(), right.column("_x").to_pylist(), strict=True))
+            got = {(k, p): x for k, p, x in zip(right.column("_kind").to_pylist(), right.column("_p").to_pylist(), right.column("_x").to_pylist(), strict=True)}
+            key, _, _, order, where, cut = by_key(s)
+            state = np.zeros(len(key), np.uint8)
+            for i, p in enumerate(where.tolist()):
+                if (1, p) in got:
+                    state[order[cut[i] : cut[i + 1]]] = unpack(got[1, p])[0]
+            kind[s.lead] = state[np.searchsorted(key, s.key[s.lead])]
+            _, _, order, where, cut = by_content(s)
             for i, p in enumerate(where.tolist()):
-                if p in classes:
-                    kind[s.lead[order[cut[i] : cut[i + 1]]]] = unpack(classes[p])[0]
+                if (0, p) in got:
+                    again = s.lead[order[cut[i] : cut[i + 1]]]
+                    kind[again[unpack(got[0, p])[0] > 0]] = EARLIER
             kind[s.first != np.arange(len(kind))] = EARLIER
             gone = np.flatnonzero(kind == EARLIER)
             if len(gone):
@@ -272,8 +318,8 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
                 buckets.append(b), out.append(pack(own, first, last))
         return pa.table({"_b": pa.array(buckets, pa.int32()), "_x": pa.array(out, pa.binary())})
 
-    blobs = docs.groupBy("_b").applyInArrow(entries, "_p int, _from int, _x binary")
-    classes = blobs.repartition(partitions, "_p").groupBy("_p").applyInArrow(answer, "_b int, _p int, _x binary").repartition(partitions, "_b")
+    blobs = docs.groupBy("_b").applyInArrow(entries, "_p int, _from int, _kind int, _x binary")
+    classes = blobs.repartition(partitions, "_p").groupBy("_p").applyInArrow(answer, "_b int, _p int, _kind int, _x binary").repartition(partitions, "_b")
     opened = docs.groupBy("_b").cogroup(classes.groupBy("_b")).applyInArrow(open_up, "_p int, _kind int, _x binary")
     return opened.repartition(partitions, "_p").groupBy("_p").applyInArrow(expand, "_b int, _x binary").repartition(partitions, "_b")
 
