@@ -10,11 +10,12 @@ So a pair must share a prefix token under each of several different orders.
 3. Of those that stay, all tokens go to their owners, which answer in how many classes each occurs.  A document in which fewer than s n
    tokens occur twice is out.
 4. Orders B1 .. B3 put rare tokens first (by powers of two of that number) and break ties by different hashes.  Under B1, the
-   documents of a prefix token are compared with its leader, the one with the smallest id: first all with
+   documents of a prefix token are compared with its leader, the one whose tokens are commonest on the whole (of many
+   copies with changes of their own, the one they are copies of): first all with
    the leader, then, once those links have made components, all pairs of a token that lie in different components.  So
    a large group of near copies costs its size, not its square, and no link between components is lost.
-5. A candidate pair must also share prefix tokens under B2 and B3 and have fitting sizes; then the sets
-   are intersected.  The documents of one leader are dealt to several tasks if they are many.
+5. What may be common from a shared token's places on must be enough; a candidate pair must also share prefix tokens under B2
+   and B3; then the sets are intersected.  The documents of one leader are dealt to several tasks if they are many.
 
 Hashes are of 64 bits.  Links are exact up to their collisions.
 
@@ -171,19 +172,20 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
     def indexed(t: pa.Table, right: pa.Table) -> pa.Table:
         """Of documents with enough common tokens: id, n, prefix tokens under B1, and the common tokens with their levels."""
         ids, sets = docs_with(t, right)
-        out = {"_id": [], "_n": [], "_pre": [], "_common": []}
+        out = {"_id": [], "_n": [], "_rank": [], "_pre": [], "_common": []}
         for doc, s, lv in zip(ids.tolist(), sets, answered(sets, right), strict=True):
             n, k = len(s), int(np.count_nonzero(lv))
             if den * k < num * n:
                 continue
             # the prefix holds the n - k tokens that occur once, which index nothing
-            pre = s[rare_first(s, lv, 0)[: prefix_size(n, num, den)]]
+            first = rare_first(s, lv, 0)[: prefix_size(n, num, den)]
+            place = np.flatnonzero(lv[first] > 0)
             own = lv > 0
             common, lv = s[own], lv[own]
-            out["_id"].append(doc), out["_n"].append(n)
-            out["_pre"].append(np.intersect1d(pre, common, assume_unique=True).view(np.int64))
+            out["_id"].append(doc), out["_n"].append(n), out["_rank"].append(-float(lv.sum()) / n)
+            out["_pre"].append([{"tok": a, "pos": b} for a, b in zip(s[first[place]].view(np.int64).tolist(), place.tolist(), strict=True)])
             out["_common"].append(pack(common, lv))
-        return pa.table({"_id": pa.array(out["_id"], pa.int64()), "_n": pa.array(out["_n"], pa.int64()), "_pre": pa.array(out["_pre"], pa.list_(pa.int64())), "_common": pa.array(out["_common"], pa.binary())})
+        return pa.table({"_id": pa.array(out["_id"], pa.int64()), "_n": pa.array(out["_n"], pa.int64()), "_rank": pa.array(out["_rank"], pa.float64()), "_pre": pa.array(out["_pre"], pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32())]))), "_common": pa.array(out["_common"], pa.binary())})
 
     text = docs.select("_b", "_id", "_t")
     null = lambda kind: F.lit(None).cast(kind)
@@ -196,19 +198,25 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
         return level.select("_b", null("long").alias("_id"), "_p", "_x").union(some.select("_b", "_id", null("int"), null("binary"))).repartition(partitions, "_b")
 
     left = persist(text.groupBy("_b").cogroup(asked(reps, front).groupBy("_b")).applyInArrow(stay, "_id long, _b int").repartition(partitions, "_b"))
-    found = persist(text.groupBy("_b").cogroup(asked(left, lambda sets: sets).groupBy("_b")).applyInArrow(indexed, "_id long, _n long, _pre array<long>, _common binary"))
+    found = persist(text.groupBy("_b").cogroup(asked(left, lambda sets: sets).groupBy("_b")).applyInArrow(indexed, "_id long, _n long, _rank double, _pre array<struct<tok: long, pos: int>>, _common binary"))
 
-    entries = found.select("_id", "_n", F.explode("_pre").alias("_tok"))
-    leaders = entries.groupBy("_tok").agg(F.min("_id").alias("_lead"), F.max("_id").alias("_most")).filter("_lead != _most").select("_tok", "_lead")
-    pairs = dealt_anew(entries, "_tok").join(dealt_anew(leaders, "_tok"), "_tok").filter("_id != _lead").select(F.col("_lead").alias("_a"), F.col("_id").alias("_z")).distinct()
+    entries = found.select("_id", "_n", "_rank", F.inline("_pre").alias("_tok", "_pos"))
+    leaders = entries.groupBy("_tok").agg(F.min(F.struct("_rank", "_id", "_n", "_pos")).alias("l"), F.count("*").alias("_m")).filter("_m > 1").select("_tok", F.col("l._id").alias("_lead"), F.col("l._n").alias("_ln"), F.col("l._pos").alias("_lpos"))
+
+    def near(n, pos, m, place):
+        """From a shared token on, so many may be common: of the first shared one, all. Fits if that is enough at these sizes."""
+        return F.least(n - pos, m - place) * (num + den) >= (n + m) * num
+
+    pairs = dealt_anew(entries, "_tok").join(dealt_anew(leaders, "_tok"), "_tok").filter("_id != _lead")
+    pairs = pairs.filter(near(F.col("_n"), F.col("_pos"), F.col("_ln"), F.col("_lpos"))).select(F.col("_lead").alias("_a"), F.col("_id").alias("_z")).distinct()
     links = persist(verified(pairs, found, num, den, group))
     # what the leaders' links leave apart: pairs of a token in different components
     comps = components(links, "_a", "_z")
-    labelled = entries.join(comps, entries["_id"] == comps["node"], "left").select("_tok", "_id", "_n", F.coalesce("component", "_id").alias("_comp"))
-    apart = labelled.groupBy("_tok").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.min("_id").alias("_lead")).filter("lo != hi").select("_tok", "_lead")
+    labelled = entries.join(comps, entries["_id"] == comps["node"], "left").select("_tok", "_pos", "_id", "_n", "_rank", F.coalesce("component", "_id").alias("_comp"))
+    apart = labelled.groupBy("_tok").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.min(F.struct("_rank", "_id")).alias("_lead")).filter("lo != hi").select("_tok", F.col("_lead._id").alias("_lead"))
     rest = dealt_anew(labelled, "_tok").join(dealt_anew(apart, "_tok"), "_tok").filter("_id != _lead")  # the leader has been compared with all
     x, y = rest.alias("x"), rest.alias("y")
-    fits = (F.col("x._n") * num <= F.col("y._n") * den) & (F.col("y._n") * num <= F.col("x._n") * den)
+    fits = near(F.col("x._n"), F.col("x._pos"), F.col("y._n"), F.col("y._pos"))
     more = x.join(y, (F.col("x._tok") == F.col("y._tok")) & (F.col("x._id") < F.col("y._id")) & (F.col("x._comp") != F.col("y._comp")) & fits)
     more = more.select(F.col("x._id").alias("_a"), F.col("y._id").alias("_z")).distinct()
     return links.union(verified(more, found, num, den, group))
