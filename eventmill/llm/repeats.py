@@ -199,17 +199,21 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
         s = Segments(data, off, least, k)
         row = s.row[s.lead]
         at = s.start[s.lead] - off[row] + place[row]
-        to, kinds, out = [], [], []
+        sent: dict[int, list] = {}
         cid, content, order, where, cut = by_content(s)
         for i, p in enumerate(where.tolist()):
             e = order[cut[i] : cut[i + 1]]
             doc = ids[row[e]]
-            to.append(p), kinds.append(0), out.append(pack(cid[e], *halves(content[e]), at[e], doc[:1], np.diff(doc)))
+            sent[p] = [pack(cid[e], *halves(content[e]), at[e], doc[:1], np.diff(doc)), None]
         key, any_content, n, order, where, cut = by_key(s)
         for i, p in enumerate(where.tolist()):
             e = order[cut[i] : cut[i + 1]]
-            to.append(p), kinds.append(1), out.append(pack(key[e], *halves(any_content[e]), n[e]))
-        return pa.table({"_p": pa.array(to, pa.int32()), "_from": pa.array([bucket] * len(out), pa.int32()), "_kind": pa.array(kinds, pa.int32()), "_x": pa.array(out, pa.binary())})
+            sent.setdefault(p, [None, None])[1] = pack(key[e], *halves(any_content[e]), n[e])
+        return blobs_of({"_p": list(sent), "_from": [bucket] * len(sent)}, list(sent.values()))
+
+    def blobs_of(numbers: dict[str, list[int]], both: list) -> pa.Table:
+        """Rows with a blob on contents and one on minimisers."""
+        return pa.table({**{c: pa.array(v, pa.int32()) for c, v in numbers.items()}, "_x": pa.array([x for x, _ in both], pa.binary()), "_y": pa.array([y for _, y in both], pa.binary())})
 
     def by_content(s: Segments):
         """Leading segments' content ids and contents, dealt out."""
@@ -227,17 +231,16 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
 
     def answer(t: pa.Table) -> pa.Table:
         here = t.column("_p")[0].as_py()
-        rows = sorted(zip(t.column("_kind").to_pylist(), t.column("_from").to_pylist(), t.column("_x").to_pylist(), strict=True))
-        bs, kinds, out = [], [], []
-        for kind in (0, 1):
-            own = [(b, unpack(x)) for k, b, x in rows if k == kind]
-            parts = [p for _, p in own]
+        found: dict[int, list] = {}
+        for kind, name in enumerate(("_x", "_y")):
+            own = sorted((b, x) for b, x in zip(t.column("_from").to_pylist(), t.column(name).to_pylist(), strict=True) if x is not None)
+            parts = [unpack(x) for _, x in own]
             if parts:
                 got = earlier(parts) if kind == 0 else differing(parts, hot)
                 for (b, _), x in zip(own, np.split(got, np.cumsum([len(p[0]) for p in parts])[:-1]), strict=True):
                     if x.any():
-                        bs.append(b), kinds.append(kind), out.append(pack(x))
-        return pa.table({"_b": pa.array(bs, pa.int32()), "_p": pa.array([here] * len(bs), pa.int32()), "_kind": pa.array(kinds, pa.int32()), "_x": pa.array(out, pa.binary())})
+                        found.setdefault(b, [None, None])[kind] = pack(x)
+        return blobs_of({"_b": list(found), "_p": [here] * len(found)}, list(found.values()))
 
     def open_up(left: pa.Table, right: pa.Table) -> pa.Table:
         to, out, what = [], [], []
@@ -246,7 +249,7 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
             _, data, off, ids, place = bucket_arrays(left)
             s = Segments(data, off, least, k)
             kind = np.zeros(len(s.key), np.uint8)
-            got = {(k, p): x for k, p, x in zip(right.column("_kind").to_pylist(), right.column("_p").to_pylist(), right.column("_x").to_pylist(), strict=True)}
+            got = {(k, p): v for p, *both in zip(*(right.column(c).to_pylist() for c in ("_p", "_x", "_y")), strict=True) for k, v in enumerate(both) if v is not None}
             key, _, _, order, where, cut = by_key(s)
             state = np.zeros(len(key), np.uint8)
             for i, p in enumerate(where.tolist()):
@@ -318,8 +321,8 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
                 buckets.append(b), out.append(pack(own, first, last))
         return pa.table({"_b": pa.array(buckets, pa.int32()), "_x": pa.array(out, pa.binary())})
 
-    blobs = docs.groupBy("_b").applyInArrow(entries, "_p int, _from int, _kind int, _x binary")
-    classes = blobs.repartition(partitions, "_p").groupBy("_p").applyInArrow(answer, "_b int, _p int, _kind int, _x binary").repartition(partitions, "_b")
+    blobs = docs.groupBy("_b").applyInArrow(entries, "_p int, _from int, _x binary, _y binary")
+    classes = blobs.repartition(partitions, "_p").groupBy("_p").applyInArrow(answer, "_b int, _p int, _x binary, _y binary").repartition(partitions, "_b")
     opened = docs.groupBy("_b").cogroup(classes.groupBy("_b")).applyInArrow(open_up, "_p int, _kind int, _x binary")
     return opened.repartition(partitions, "_p").groupBy("_p").applyInArrow(expand, "_b int, _x binary").repartition(partitions, "_b")
 
