@@ -56,12 +56,12 @@ def partitions_for(df: DataFrame, partition_bytes: int = PARTITION_BYTES) -> int
     return max(least, min(n // partition_bytes + 1, 1 << 20))
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
+def bucketed(docs: DataFrame, id_col: str, text_col: str, partitions: int, per_partition: int = BUCKETS_PER_PARTITION) -> DataFrame:
     """`with_bucket`, dealt out by bucket."""
-    return with_bucket(docs, id_col, text_col, partitions).repartition(partitions, "_b")
+    return with_bucket(docs, id_col, text_col, partitions, per_partition).repartition(partitions, "_b")
 
 
-def with_bucket(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
+def with_bucket(docs: DataFrame, id_col: str, text_col: str, partitions: int, per_partition: int = BUCKETS_PER_PARTITION) -> DataFrame:
     """Columns _b (bucket), _id (never null), _t (text, null as empty), _null (text was null), _row (the other columns).
 
     Rows without an id get one from their text at the upper end of the range, so they come after all others,
@@ -74,7 +74,7 @@ def with_bucket(docs: DataFrame, id_col: str, text_col: str, partitions: int) ->
         F.coalesce(F.col(text_col), F.lit("")).alias("_t"),
         F.col(text_col).isNull().alias("_null"),
         F.struct(*rest).alias("_row"),
-    ).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(partitions * BUCKETS_PER_PARTITION)).cast("int"))
+    ).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(partitions * per_partition)).cast("int"))
 
 
 def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:

@@ -38,6 +38,8 @@ from .common import MIX1, bucketed, chunks, dealt_anew, in_order, loose, mix, ow
 from .components import components
 
 WIDTH, NUM, DEN = 5, 80, 100
+#: Buckets for each partition: tokens travel twice, so fewer and larger blobs than elsewhere.
+BUCKETS = 2
 #: Candidates of one leader for a task.
 GROUP = 512
 SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8], np.uint64)
@@ -151,8 +153,10 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
         flat, back = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]), return_inverse=True)
         n = np.bincount(back, weights=np.concatenate([p[1].astype(np.int64) for p in parts]), minlength=len(flat))[back]
         level = np.where(n > 1, np.ceil(np.log2(np.maximum(n, 1))), 0).astype(np.uint8)
-        out = [pack(x) for x in np.split(level, np.cumsum([len(p[0]) for p in parts])[:-1])]
-        return pa.table({"_b": pa.array([b for b, _ in rows], pa.int32()), "_p": pa.array([here] * len(out), pa.int32()), "_x": pa.array(out, pa.binary())})
+        split = np.split(level, np.cumsum([len(p[0]) for p in parts])[:-1])
+        told = [(b, pack(x)) for (b, _), x in zip(rows, split, strict=True) if x.any()]  # no answer: all in one document
+        out = [x for _, x in told]
+        return pa.table({"_b": pa.array([b for b, _ in told], pa.int32()), "_p": pa.array([here] * len(out), pa.int32()), "_x": pa.array(out, pa.binary())})
 
     def answered(tokens: list[np.ndarray], right: pa.Table) -> list[np.ndarray]:
         """The levels of each document's tokens."""
@@ -160,7 +164,8 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
         level = np.zeros(len(flat), np.uint8)
         got = {p: x for p, x in zip(right.column("_p").to_pylist(), right.column("_x").to_pylist(), strict=True) if x is not None}
         for i, p in enumerate(where.tolist()):
-            level[order[cut[i] : cut[i + 1]]] = unpack(got[p])[0]
+            if p in got:
+                level[order[cut[i] : cut[i + 1]]] = unpack(got[p])[0]
         return [level[x] for x in places]
 
     def stay(t: pa.Table, right: pa.Table) -> pa.Table:
@@ -261,8 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: the input's columns but the text, n_shingles, component_id (the smallest id it is linked with, over any number of links), kept (that
     is its own)."""
     partitions = partitions_for(docs)
-    dealt = bucketed(docs, id_col, text_col, partitions)
-    members = persist(shingles_of(with_bucket(docs, id_col, text_col, partitions), width))
+    dealt = bucketed(docs, id_col, text_col, partitions, BUCKETS)
+    members = persist(shingles_of(with_bucket(docs, id_col, text_col, partitions, BUCKETS), width))
     links = similar_links(dealt, members, partitions, width, num, den)
     comps = components(links, "_a", "_z")
     reps = members.filter("_n > 0").groupBy("_c").agg(F.min("_id").alias("_rep"))
