@@ -5,7 +5,7 @@ meet: a window goes by its minimiser, the K-byte string inside it with the small
 minimiser travel as one segment.
 
 1. Each bucket of documents sends the hashes of its distinct segments to the owners of those, and its distinct minimisers to the
-   owners of these (about 17 and 14 bytes, for 35 bytes of text).  So an owner gets an entry from each bucket at most, however
+   owners of these (about 20 and 17 bytes, for 35 bytes of text; contents are equal if minimiser and two 64-bit hashes are).  So an owner gets an entry from each bucket at most, however
    common a passage is.
 2. The owners tell: a segment that occurs earlier is all repeated; one whose minimiser occurs in no other segment isn't
    repeated at all; the first of each of the others is *open*.  Open segments are those around the ends of shared passages.
@@ -73,7 +73,7 @@ def minimisers(buf: np.ndarray, valid: np.ndarray, least: int, k: int) -> tuple[
 
 
 class Segments:
-    """The segments of a bucket in order: row, start, windows, key (minimiser) and content hash."""
+    """The segments of a bucket in order: row, start, windows, key (minimiser), content hash and another, independent one."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, least: int, k: int):
         parts = []
@@ -92,12 +92,12 @@ class Segments:
                     np.add.at(mark, e[ok], -1)
                     valid = np.cumsum(mark[:-1]) > 0
                     start, n, key = minimisers(buf, valid, least, k)
-                    content = RangeHash(buf, 2)(start, start + n + least - 1) >> np.uint64(24)
-                    parts.append((start + lo, n, key, content))
+                    content = RangeHash(buf, 2)(start, start + n + least - 1)
+                    parts.append((start + lo, n, key, content, RangeHash(buf, 0)(start, start + n + least - 1)))
                 if b - a > 1:
                     break
-        kinds = (np.int64, np.int64, np.uint64, np.uint64)
-        self.start, self.n, self.key, self.content = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(kinds))
+        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.uint64)
+        self.start, self.n, self.key, self.content, self.other = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(kinds))
         self.row = np.searchsorted(off, self.start, side="right") - 1
         # the first of each content, and for each segment the number of its first
         o = np.lexsort((np.arange(len(self.key)), self.content, self.key))
@@ -118,17 +118,16 @@ def joined(parts: list[list[np.ndarray]], i: int, kind=np.int64) -> np.ndarray:
     return np.concatenate([p[i].astype(kind) for p in parts]) if parts else np.zeros(0, kind)
 
 
-def content_ids(key: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """64 bits of (minimiser, content), by which contents are dealt; with the content's own 40 bits they are taken for equal."""
+def content_ids(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """64 bits of (minimiser, the other hash), by which contents are dealt; with the 64 bits of the content hash they are taken for equal."""
     with np.errstate(over="ignore"):
-        return mix(key + content * MIX2)
+        return mix(key + other * MIX2)
 
 
 def earlier(parts: list[list[np.ndarray]]) -> np.ndarray:
-    """For content entries (id, low, high, start, first document, steps of documents): whether the content occurs before."""
-    key, content = joined(parts, 0, np.uint64), joined(parts, 1, np.uint64) | joined(parts, 2, np.uint64) << np.uint64(32)
-    start = joined(parts, 3)
-    doc = np.concatenate([np.cumsum(np.concatenate((p[4].astype(np.int64), p[5].astype(np.int64)))) for p in parts])
+    """For content entries (id, content, start, first document, steps of documents): whether the content occurs before."""
+    key, content, start = joined(parts, 0, np.uint64), joined(parts, 1, np.uint64), joined(parts, 2)
+    doc = np.concatenate([np.cumsum(np.concatenate((p[3].astype(np.int64), p[4].astype(np.int64)))) for p in parts])
     o = np.argsort(key, kind="stable")
     s = key[o]
     group = np.cumsum(np.concatenate(([True], s[1:] != s[:-1]))) - 1
@@ -141,8 +140,8 @@ def earlier(parts: list[list[np.ndarray]]) -> np.ndarray:
 
 
 def differing(parts: list[list[np.ndarray]], hot: int) -> np.ndarray:
-    """For minimiser entries (key, low, high, distinct contents in the bucket): OPEN if there are several contents, MANY if over `hot`, else 0."""
-    key, content, n = joined(parts, 0, np.uint64), joined(parts, 1, np.uint64) | joined(parts, 2, np.uint64) << np.uint64(32), joined(parts, 3)
+    """For minimiser entries (key, content, distinct contents in the bucket): OPEN if there are several contents, MANY if over `hot`, else 0."""
+    key, content, n = joined(parts, 0, np.uint64), joined(parts, 1, np.uint64), joined(parts, 2)
     o = np.argsort(key, kind="stable")
     new = np.concatenate(([True], key[o][1:] != key[o][:-1]))
     group, cut = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -204,11 +203,11 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
         for i, p in enumerate(where.tolist()):
             e = order[cut[i] : cut[i + 1]]
             doc = ids[row[e]]
-            sent[p] = [pack(cid[e], *halves(content[e]), at[e], doc[:1], np.diff(doc)), None]
+            sent[p] = [pack(cid[e], content[e], at[e], doc[:1], np.diff(doc)), None]
         key, any_content, n, order, where, cut = by_key(s)
         for i, p in enumerate(where.tolist()):
             e = order[cut[i] : cut[i + 1]]
-            sent.setdefault(p, [None, None])[1] = pack(key[e], *halves(any_content[e]), n[e])
+            sent.setdefault(p, [None, None])[1] = pack(key[e], any_content[e], n[e])
         return blobs_of({"_p": list(sent), "_from": [bucket] * len(sent)}, list(sent.values()))
 
     def blobs_of(numbers: dict[str, list[int]], both: list) -> pa.Table:
@@ -218,7 +217,7 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
     def by_content(s: Segments):
         """Leading segments' content ids and contents, dealt out."""
         content = s.content[s.lead]
-        cid = content_ids(s.key[s.lead], content)
+        cid = content_ids(s.key[s.lead], s.other[s.lead])
         return cid, content, *scatter(owner(cid, partitions))
 
     def by_key(s: Segments):
@@ -226,9 +225,6 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
         key, first, n = np.unique(s.key[s.lead], return_index=True, return_counts=True)
         return key, s.content[s.lead][first], n, *scatter(owner(key, partitions))
 
-    def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8)
-
     def answer(t: pa.Table) -> pa.Table:
         here = t.column("_p")[0].as_py()
         found: dict[int, list] = {}

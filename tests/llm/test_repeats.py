@@ -46,6 +46,16 @@ def test_matches_brute_force(docs, documents, least, k, hot):
     assert got == brute(documents, least)
 
 
+def test_contents_that_share_many_bits_of_a_hash(spark):
+    # one minimiser, and the upper 40 bits of the content hash are equal
+    core = "sofhkrkrtqvwcuozqhlslgrxbnepbrkeqhyiusiqkdobddfcfipvbmiwxraredrvlckshybuvxqvsexqmsdguzvvljpe"
+    rows = [(1, core + "ypjmoehr"), (2, core + "zqhwrplb")]
+    buf = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    s = repeats.Segments(buf, np.array([0, 100, 200]), 100, 32)
+    assert s.key[0] == s.key[1]
+    assert {r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
 def test_odd_rows(odd, documents):
     out = repeats.remove_repeats(odd, least=24, k=8, keep=("kept_text", "spans")).collect()
     size = len(documents[3][1].encode())
