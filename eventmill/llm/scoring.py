@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import bucketed, chunks, in_order, loose, owner, pack, partitions_for, persist, scatter, unpack, utf8, word_hashes
 
 HEADS, CLASSES, ROUNDS = 768, 24, 6
+#: Distinct words that a task counts before it sends the counts on.
+HELD = 1 << 20
 #: The end of a text, as a token.
 END = np.uint64(0x5EED0FE2D0C5)
 
@@ -51,25 +53,37 @@ def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(x, return_counts=True)
 
 
-def head_words(train: DataFrame, text_col: str, heads: int) -> np.ndarray:
-    """Hashes of the commonest words, sorted. Each task names its commonest 16 x heads."""
+def head_words(train: DataFrame, text_col: str, heads: int, partitions: int, held: int = HELD) -> np.ndarray:
+    """Hashes of the commonest words, sorted. All words are counted by their owners; each owner names its commonest."""
 
     def run(batches):
         word, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def send():
+            order, where, cut = scatter(owner(word, partitions))
+            out = [pack(word[e], n[e]) for e in (order[cut[j] : cut[j + 1]] for j in range(len(where)))]
+            return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(out, pa.binary())], names=["_p", "_x"])
+
         for batch in batches:
             h, _ = tokens(*utf8(batch.column(0)))
             w, c = counted(h)
             word, back = np.unique(np.concatenate((word, w)), return_inverse=True)
             n = np.bincount(back, weights=np.concatenate((n, c)), minlength=len(word)).astype(np.int64)
-            if len(word) > 1 << 20:  # bounded memory: rare words of a task so far can't be among the commonest of all
-                keep = np.argsort(-n, kind="stable")[: 1 << 19]
-                word, n = word[np.sort(keep)], n[np.sort(keep)]
-        top = np.argsort(-n, kind="stable")[: 16 * heads]
-        yield pa.RecordBatch.from_arrays([pa.array(word[top].view(np.int64)), pa.array(n[top])], names=["w", "n"])
-
-    rows = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, "w long, n long")
-    top = rows.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(heads + 1).collect()
-    words = np.array([r["w"] for r in top], np.int64).view(np.uint64)
+            if len(word) > held:  # bounded memory: the owner adds up what comes in parts
+                yield send()
+                word, n = word[:0], n[:0]
+        yield send()
+
+    def top(t: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in t.column("_x").to_pylist()]
+        word, back = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([p[1].astype(np.int64) for p in parts])).astype(np.int64)
+        own = np.lexsort((word.view(np.int64), -n))[: heads + 1]
+        return pa.table({"w": word[own].view(np.int64), "n": n[own]})
+
+    rows = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, "_p int, _x binary")
+    rows = rows.repartition(partitions, "_p").groupBy("_p").applyInArrow(top, "w long, n long")
+    words = np.array([r["w"] for r in rows.orderBy(F.desc("n"), "w").limit(heads + 1).collect()], np.int64).view(np.uint64)
     return np.sort(words[words != END][:heads])
 
 
@@ -168,7 +182,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     rows to learn from."""
     partitions = partitions_for(docs)
     learn = docs.filter(train).select(text_col)
-    words = head_words(learn, text_col, heads)
+    words = head_words(learn, text_col, heads, partitions)
     counts = bigrams(learn, text_col, words)
     own = exchange(counts, classes) if len(words) else np.array([0, 1])
     forward, backward = class_votes(counts, own, classes)

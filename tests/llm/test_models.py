@@ -126,6 +126,16 @@ def test_exchange_finds_classes():
     assert len({(x, y) for x, y in zip(truth, own, strict=True)}) == 3
 
 
+@pytest.mark.parametrize("held", [5, 1 << 20])
+def test_head_words_are_counted_in_full(spark, held):
+    # "spread" is 21st in each task, but the commonest of all
+    rows = [(" ".join(f"w{task}x{i}" for i in range(20) for _ in range(3)) + " spread spread",) for task in range(4)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "text string")
+    top = scoring.head_words(df, "text", 1, 3, held)
+    h, _ = scoring.tokens(np.frombuffer(b"spread", np.uint8), np.array([0, 6]))
+    assert top.tolist() == [int(h[0])]
+
+
 def test_pipeline(spark, documents, tmp_path):
     import corpus_pipeline as p
 
