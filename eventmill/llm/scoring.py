@@ -2,11 +2,14 @@
 
 P(word | last word) = P(class | last class) P(word | class), smoothed.
 
-1. The commonest `heads` words of the training texts, the text's end and "other" are put into `classes` classes by exchange: each
+1. A start: the commonest `heads` words of the training texts, the text's end and "other" are put into `classes` classes by exchange: each
    word moves to the class that raises the likelihood of the class bigrams most, over the bigram counts of all training texts.
-2. Every other training word gets the class that its neighbours among the common words make likeliest, summed over the corpus.  Documents
-   are dealt into buckets; a bucket sends its distinct words with their training counts and votes to the words' owners, which
-   sum them and answer with each word's count and class (8-byte hashes; the words themselves stay).
+2. All training words, these among them, are then exchanged in `sweeps` rounds over the whole corpus.  Documents are dealt into buckets; a
+   bucket sends its distinct words with counts of the classes before and after them to the words' owners.  These add the counts up, unclipped
+   and for all classes, and move each word once to the class that its neighbours make likeliest.  In the first round, only the words of
+   step 1 have classes; a word that never stands beside one (nor at a text's end) begins in a class by its hash, as exchange begins.
+   In later rounds all neighbours have classes, and class bigrams are counted anew before each.
+   From the second round on, a bucket keeps its tokens as numbers, and its words are numbers of their owner.
 3. Each text is reduced to sums over its tokens and a table of class transitions; the training texts' tables are added up to the transition
    probabilities, by which all texts are scored.
 
@@ -20,14 +23,18 @@ stay, but those named like a result are replaced.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucketed, chunks, in_order, loose, owner, pack, partitions_for, persist, scatter, unpack, utf8, word_hashes
 
-HEADS, CLASSES, ROUNDS = 768, 24, 6
+HEADS, CLASSES, ROUNDS, SWEEPS = 768, 24, 6, 5
+#: Buckets for each partition: a round sends a blob from each bucket to each owner.
+PER_PARTITION = 2
 #: Distinct words that a task counts before it sends the counts on.
 HELD = 1 << 20
 #: The end of a text, as a token.
@@ -166,18 +173,41 @@ def exchange(a: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     return own
 
 
-def class_votes(a: np.ndarray, own: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """log P(class | class before) and log P(class after | class), for words between classes."""
-    member = np.zeros((len(own), classes))
-    member[np.arange(len(own)), own] = 1
-    g = member.T @ a @ member + 0.5
-    return np.log(g / g.sum(1, keepdims=True)), np.log(g / g.sum(1, keepdims=True))
+def neighbours(entry: np.ndarray, kind: np.ndarray, use: np.ndarray, size: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of `size` entries, how many classes stand beside it; these (before, then classes + after), ascending; how often. Tokens without a
+    class (kind >= classes) say nothing. `use` holds for no end; the token before the first is an end, as the last is."""
+    at = np.flatnonzero(use)
+    found = []
+    for side, k in ((0, kind[at - 1]), (classes, kind[np.minimum(at + 1, len(kind) - 1)])):
+        known = k < classes
+        found.append(entry[at[known]].astype(np.int64) * (2 * classes) + side + k[known])
+    key, n = counted(np.concatenate(found))
+    return np.bincount(key // (2 * classes), minlength=size), (key % (2 * classes)).astype(np.uint8), n
+
+
+def gathered(word: np.ndarray, pairs: np.ndarray, code: np.ndarray, n: np.ndarray, size: int, classes: int) -> np.ndarray:
+    """Counts of `neighbours` of entries, added up by word: size x 2 classes."""
+    at = np.repeat(word, pairs) * (2 * classes) + code
+    return np.bincount(at, weights=n, minlength=size * 2 * classes).reshape(size, 2 * classes)
+
+
+def likeliest(beside: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """The class (of those from 2) that raises the likelihood of the class bigrams most, by counts of classes beside each word."""
+    g = bigrams + 0.5
+    gain = np.concatenate((np.log(g / g.sum(0)), np.log(g.T / g.sum(1))))  # before: g[j, k] / n_k; after: g[k, j] / n_k
+    return 2 + np.round(beside @ gain[:, 2:], 6).argmax(1)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffles of earlier rounds."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 RESULTS = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", heads: int = HEADS, classes: int = CLASSES) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", heads: int = HEADS, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """Input columns but the text, and n_tokens, n_known, train_tokens, base_score (unigrams), score (class bigrams), both log10. train: which
     rows to learn from."""
     partitions = partitions_for(docs)
@@ -185,10 +215,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     words = head_words(learn, text_col, heads, partitions)
     counts = bigrams(learn, text_col, words)
     own = exchange(counts, classes) if len(words) else np.array([0, 1])
-    forward, backward = class_votes(counts, own, classes)
+    member = np.zeros((len(own), classes))
+    member[np.arange(len(own)), own] = 1
+    start = member.T @ counts @ member
     names = [c for c in docs.columns if c != text_col and c not in RESULTS]
     flagged = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    dealt = bucketed(flagged, id_col, "_text", partitions)
+    dealt = bucketed(flagged, id_col, "_text", partitions, PER_PARTITION)
     common = len(words)
 
     def read(t: pa.Table):
@@ -198,60 +230,105 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         learns = t.column("_row").combine_chunks().field("_train").to_numpy(zero_copy_only=False).astype(bool)
         return t, h, first, learns
 
+    def ballots(bucket: int, ids: list[np.ndarray], where: np.ndarray, cut: np.ndarray, beside: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, list]:
+        """A blob for each owner: what `ids` says of the entries in its part of the bucket's, and the classes beside them."""
+        pairs, code, n = beside
+        at = np.concatenate(([0], np.cumsum(pairs)))
+        parts = [(slice(a, b), slice(at[a], at[b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return {"_p": where.tolist(), "_b": [bucket] * len(parts), "_x": [pack(*(x[e] for x in ids), pairs[e], code[q], n[q]) for e, q in parts]}
+
+    def dealt_words(h: np.ndarray):
+        """Distinct words by owner, each token's place among them, the owners, and the bounds of their parts."""
+        word, back = np.unique(h, return_inverse=True)
+        order, where, cut = scatter(owner(word, partitions))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return word[order], place[back], where, cut
+
     def entries(t: pa.Table) -> pa.Table:
         bucket = t.column("_b")[0].as_py()
         t, h, first, learns = read(t)
-        word, back = np.unique(h, return_inverse=True)
+        word, back, where, cut = dealt_words(h)
         use = np.repeat(learns, np.diff(first))
-        n = np.bincount(back[use], minlength=len(word))
         i = index_of(words, h)
-        c = own[i]
-        inside = use & (i == common + 1)  # votes: for other words, from neighbours that are common words
-        left, right = np.concatenate(([common], i[:-1])), np.concatenate((i[1:], [common]))
-        total = np.zeros((len(word), classes), np.float32)
-        for at, table in ((inside & (left < common), forward[own[left]]), (inside & (right < common), None)):
-            rows = np.flatnonzero(at)
-            o = rows[np.argsort(back[rows], kind="stable")]
-            if len(o):
-                b = back[o]
-                cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                vote = table[o] if table is not None else backward[:, c[np.minimum(o + 1, len(c) - 1)]].T
-                total[b[cut]] += np.add.reduceat(vote.astype(np.float32), cut, axis=0)
-        total[:, :2] = -np.inf
-        top = total.argmax(1)
-        spread = total[np.arange(len(word)), top] - np.where(np.isfinite(total), total, 0).sum(1) / max(1, classes - 2)
-        weight = np.clip(np.nan_to_num(spread) * 4, 0, 255).astype(np.uint8)
-        order, where, cut = scatter(owner(word, partitions))
-        out = [pack(word[e], n[e], top[e].astype(np.uint8), weight[e]) for e in (order[cut[j] : cut[j + 1]] for j in range(len(where)))]
-        return pa.table({"_p": pa.array(where, pa.int32()), "_from": pa.array([bucket] * len(out), pa.int32()), "_x": pa.array(out, pa.binary())})
-
-    def answer(t: pa.Table) -> pa.Table:
-        here = t.column("_p")[0].as_py()
-        rows = sorted(zip(t.column("_from").to_pylist(), t.column("_x").to_pylist(), strict=True))
-        parts = [unpack(x) for _, x in rows]
-        flat = np.concatenate([p[0].astype(np.uint64) for p in parts])
-        n, vote, weight = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (1, 2, 3))
-        word, back = np.unique(flat, return_inverse=True)
-        total = np.bincount(back, weights=n).astype(np.int64)
-        # the class with most votes; ties to the lower
-        pair, at = np.unique(back * classes + vote, return_inverse=True)
-        votes = np.bincount(at, weights=weight + 1e-3)
-        o = np.lexsort((pair % classes, -votes, pair // classes))
-        lead = o[np.concatenate(([True], (pair[o] // classes)[1:] != (pair[o] // classes)[:-1]))]
-        kind = pair[lead] % classes
+        kind = np.where(i == common + 1, classes, own[i])
+        out = ballots(bucket, [word, np.bincount(back[use], minlength=len(word))], where, cut, neighbours(back, kind, use & (h != END), len(word), classes))
+        return pa.table({"_p": pa.array(out["_p"], pa.int32()), "_b": pa.array(out["_b"], pa.int32()), "_x": pa.array(out["_x"], pa.binary())})
+
+    def parts_of(t: pa.Table):
+        rows = sorted(zip(t.column("_b").to_pylist(), t.column("_x").to_pylist(), strict=True))
+        return t.column("_p")[0].as_py(), [b for b, _ in rows], [unpack(x) for _, x in rows]
+
+    def join(parts: list, i: int) -> np.ndarray:
+        return np.concatenate([p[i].astype(np.int64) for p in parts])
+
+    def answers_of(here: int, sums: np.ndarray, buckets: list[int], parts: list, back: np.ndarray, say) -> pa.Table:
+        cut = np.cumsum([0, *(len(p[0]) for p in parts)])
+        out = [pack(sums)] + [pack(*say(back[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return pa.table({"_b": pa.array([-1, *buckets], pa.int32()), "_p": pa.array([here] * len(out), pa.int32()), "_x": pa.array(out, pa.binary())})
+
+    def first_answer(t: pa.Table) -> pa.Table:
+        """For each entry: steps of the words' numbers here, the word's count and its class (`classes` if no training text holds it)."""
+        here, buckets, parts = parts_of(t)
+        word, back = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]), return_inverse=True)
+        total = np.bincount(back, weights=join(parts, 1)).astype(np.int64)
+        beside = gathered(back, join(parts, 2), join(parts, 3), join(parts, 4), len(word), classes)
+        kind = np.where(beside.any(1), likeliest(beside, start), 2 + (word % np.uint64(max(1, classes - 2))).astype(np.int64))
         i = index_of(words, word)
         kind = np.where(i <= common, own[np.minimum(i, common)], kind)
-        seen = total > 0
-        sums = np.stack((np.bincount(kind[seen], weights=total[seen], minlength=classes), np.bincount(kind[seen], minlength=classes))).astype(np.int64)
-        bs, ps, out, a = [-1], [here], [pack(sums.ravel())], 0
-        for b, p in ((b, p) for (b, _), p in zip(rows, parts, strict=True)):
-            own_rows = back[a : a + len(p[0])]
-            a += len(p[0])
-            bs.append(b), ps.append(here), out.append(pack(total[own_rows], kind[own_rows].astype(np.uint8)))
-        return pa.table({"_b": pa.array(bs, pa.int32()), "_p": pa.array(ps, pa.int32()), "_x": pa.array(out, pa.binary())})
-
-    blobs = dealt.groupBy("_b").applyInArrow(entries, "_p int, _from int, _x binary").repartition(partitions, "_p")
-    answers = persist(blobs.groupBy("_p").applyInArrow(answer, "_b int, _p int, _x binary"))
+        kind[total == 0] = classes
+        return answers_of(here, np.array([total.sum(), np.count_nonzero(total)]), buckets, parts, back, lambda e: (np.diff(e, prepend=0), total[e], kind[e].astype(np.uint8)))
+
+    def next_answer(bigrams: np.ndarray):
+        def answer(t: pa.Table) -> pa.Table:
+            """For each entry its word's class; the distinct training words of each class."""
+            here, buckets, parts = parts_of(t)
+            back = np.concatenate([np.cumsum(p[0].astype(np.int64)) for p in parts])
+            beside = gathered(back, join(parts, 1), join(parts, 2), join(parts, 3), int(back.max()) + 1, classes)
+            kind = np.where(beside.any(1), likeliest(beside, bigrams), classes)
+            return answers_of(here, np.bincount(kind, minlength=classes + 1)[:classes], buckets, parts, back, lambda e: (kind[e].astype(np.uint8),))
+
+        return answer
+
+    def told(right: pa.Table) -> list[list[np.ndarray]]:
+        """Answers to a bucket, in the order of its entries."""
+        return [unpack(x) for _, x in sorted(zip(right.column("_p").to_pylist(), right.column("_x").to_pylist(), strict=True))]
+
+    def votes(bucket: int, state: list[np.ndarray], kind: np.ndarray) -> dict[str, list]:
+        """Ballots by the classes so far, and the bucket's class bigrams (_p = -2)."""
+        low, high, first, learns, step, _, where, cut = state
+        back = low.astype(np.int64) | high.astype(np.int64) << 16
+        end = int(back[-1])
+        kind[end] = 0
+        k = kind[back]
+        use = np.repeat(learns.astype(bool), np.diff(first.astype(np.int64)))
+        before = np.concatenate(([0], k[:-1]))
+        g = np.bincount(before[use] * classes + k[use], minlength=classes * classes)
+        out = ballots(bucket, [step], where.astype(np.int64), cut.astype(np.int64), neighbours(back, k, use & (back != end), len(step), classes))
+        return {"_p": [*out["_p"], -2], "_b": [*out["_b"], bucket], "_x": [*out["_x"], pack(g)]}
+
+    def voted(out: dict[str, list]) -> pa.Table:
+        return pa.table({"_p": pa.array(out["_p"], pa.int32()), "_b": pa.array(out["_b"], pa.int32()), "_x": pa.array(out["_x"], pa.binary())})
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A bucket's tokens and words as numbers, with its rows (_p = -1), and its votes."""
+        if not left.num_rows:
+            return voted({"_p": [], "_b": [], "_x": []}).append_column("_rows", pa.array([], pa.list_(pa.null())))
+        bucket = left.column("_b")[0].as_py()
+        t, h, first, learns = read(left)
+        _, back, where, cut = dealt_words(h)
+        step, total, kind = (join(told(right), i) for i in range(3))
+        state = [(back & 0xFFFF).astype(np.uint16), back >> 16, first, learns.astype(np.uint8), step, total, where, cut]
+        out = votes(bucket, state, kind)
+        n = len(out["_p"])
+        rows = loose(t.column("_row"))
+        out = voted({"_p": [-1, *out["_p"]], "_b": [bucket, *out["_b"]], "_x": [pack(*state), *out["_x"]]})
+        return out.append_column("_rows", pa.ListArray.from_arrays(pa.array([0] + [len(rows)] * (n + 1), pa.int32()), rows))
+
+    def again(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return voted({"_p": [], "_b": [], "_x": []})
+        return voted(votes(left.column("_b")[0].as_py(), unpack(left.column("_x")[0].as_py()), join(told(right), 0)))
 
     def add(t: pa.Table) -> pa.Table:
         return pa.table({"g": t.column("g").slice(0, 1), "x": pa.array([pack(sum(unpack(x)[0].astype(np.int64) for x in t.column("x").to_pylist()))], pa.binary())})
@@ -269,44 +346,56 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         got = df.mapInArrow(partial, "g int, x binary").groupBy("g").applyInArrow(add, "g int, x binary").collect()
         return unpack(bytes(got[0]["x"]))[0].astype(np.int64) if got else np.zeros(size, np.int64)
 
-    per_class, distinct = summed(answers.filter("_b = -1").select("_x"), 2 * classes).reshape(2, classes)
-    tokens_in_all, words_in_all = int(per_class.sum()), int(distinct.sum())
+    spark, schema = docs.sparkSession, "_p int, _b int, _x binary"
+    kind_of_row = dealt.schema["_row"].dataType.simpleString()
+    blobs = dealt.groupBy("_b").applyInArrow(entries, schema).repartition(partitions, "_p")
+    answers = persist(blobs.groupBy("_p").applyInArrow(first_answer, "_b int, _p int, _x binary"))
+    released(spark)
+    tokens_in_all, words_in_all = summed(answers.filter("_b = -1").select("_x"), 2).tolist()
+    made = persist(dealt.groupBy("_b").cogroup(answers.filter("_b >= 0").repartition(partitions, "_b").groupBy("_b")).applyInArrow(settle, f"{schema}, _rows array<{kind_of_row}>"))
+    released(spark)
+    state = made.filter("_p = -1")
+    for sweep in range(2, max(2, sweeps) + 1):
+        g = summed(made.filter("_p = -2").select("_x"), classes * classes).reshape(classes, classes)
+        answers = persist(made.filter("_p >= 0").select("_p", "_b", "_x").repartition(partitions, "_p").groupBy("_p").applyInArrow(next_answer(g), "_b int, _p int, _x binary"))
+        back = answers.filter("_b >= 0").repartition(partitions, "_b").groupBy("_b")
+        if sweep < sweeps:
+            made = persist(state.select("_b", "_x").repartition(partitions, "_b").groupBy("_b").cogroup(back).applyInArrow(again, schema))
+        released(spark)
+    distinct = summed(answers.filter("_b = -1").select("_x"), classes)
+    distinct[0] = min(1, tokens_in_all)  # the end
     side = classes + 1  # and the words that no training text holds
 
     def reduce(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"_row": None, "n_tokens": [], "n_known": [], "_sum": [], "_known": [], "_moves": []}
-        t, h, first, _ = read(left) if left.num_rows else (left, np.zeros(0, np.uint64), np.zeros(1, np.int64), None)
-        word, back = np.unique(h, return_inverse=True)
-        total, kind = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-        order, where, cut = scatter(owner(word, partitions))
-        got = dict(zip(right.column("_p").to_pylist(), right.column("_x").to_pylist(), strict=True))
-        for j, p in enumerate(where.tolist()):
-            e = order[cut[j] : cut[j + 1]]
-            total[e], kind[e] = unpack(got[p])
-        kind[total == 0] = classes
-        c, k = total[back], kind[back]
-        logs = np.log10(c + 0.5)
-        known = c > 0
-        before = np.concatenate(([0], k[:-1]))[: len(k)]
-        if len(h):
+        out = {"n_tokens": [], "n_known": [], "_sum": [], "_known": [], "_moves": []}
+        rows = left.column("_rows").combine_chunks()
+        rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+        if left.num_rows:
+            low, high, first, _, _, total, _, _ = unpack(left.column("_x")[0].as_py())
+            back, kind = low.astype(np.int64) | high.astype(np.int64) << 16, join(told(right), 0)
+            kind[back[-1]] = 0
+            kind[total == 0] = classes
+            c, k, first = total.astype(np.int64)[back], kind[back], first.astype(np.int64)
+            logs = np.log10(c + 0.5)
+            known = c > 0
+            before = np.concatenate(([0], k[:-1]))
             before[first[:-1]] = 0  # class 0 is the end's
-        move = before * side + k
-        for i in range(t.num_rows):
-            a, b = int(first[i]), int(first[i + 1])
-            out["n_tokens"].append(b - a)
-            out["n_known"].append(int(np.count_nonzero(known[a:b])))
-            out["_sum"].append(float(logs[a:b].sum()))
-            out["_known"].append(float(logs[a:b][known[a:b]].sum()))
-            where_, n = np.unique(move[a:b], return_counts=True)
-            out["_moves"].append(pack(where_, n))
+            move = before * side + k
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                out["n_tokens"].append(b - a)
+                out["n_known"].append(int(np.count_nonzero(known[a:b])))
+                out["_sum"].append(float(logs[a:b].sum()))
+                out["_known"].append(float(logs[a:b][known[a:b]].sum()))
+                where_, n = np.unique(move[a:b], return_counts=True)
+                out["_moves"].append(pack(where_, n))
         return pa.table({
-            "_row": loose(t.column("_row")), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
+            "_row": loose(rows.flatten()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
             "_sum": pa.array(out["_sum"], pa.float64()), "_known": pa.array(out["_known"], pa.float64()), "_moves": pa.array(out["_moves"], pa.binary()),
         })
 
-    fields = "_row " + dealt.schema["_row"].dataType.simpleString() + ", n_tokens long, n_known long, _sum double, _known double, _moves binary"
-    back = answers.filter("_b >= 0").repartition(partitions, "_b")
-    texts = persist(dealt.groupBy("_b").cogroup(back.groupBy("_b")).applyInArrow(reduce, fields))
+    fields = f"_row {kind_of_row}, n_tokens long, n_known long, _sum double, _known double, _moves binary"
+    texts = persist(state.select("_b", "_x", "_rows").repartition(partitions, "_b").groupBy("_b").cogroup(back).applyInArrow(reduce, fields))
+    released(spark)
 
     def transitions(batches):
         total = np.zeros(side * side, np.int64)
@@ -319,7 +408,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     moves = summed(texts.filter("_row._train").select("_moves").mapInArrow(transitions, "_x binary"), side * side).reshape(side, side)[:classes, :classes]
     prior = (moves.sum(0) + 0.5) / (moves.sum() + 0.5 * classes)
     chance = (moves + classes * prior) / (moves.sum(1, keepdims=True) + classes)
-    size = per_class + 0.5 * (distinct + 1)  # of each class, with its unseen mass
+    size = moves.sum(0) + 0.5 * (distinct + 1)  # of each class, with its unseen mass
     step = np.zeros((side, side))
     step[:classes, :classes] = np.log10(chance) - np.log10(size)
     step[classes, :classes] = np.log10(prior) - np.log10(size)  # after a word without a class

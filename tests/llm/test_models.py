@@ -126,6 +126,36 @@ def test_exchange_finds_classes():
     assert len({(x, y) for x, y in zip(truth, own, strict=True)}) == 3
 
 
+def test_words_far_from_common_ones_are_clustered(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["hot", "warm", "mild", "cold"], size=60)), True) for i in range(60)]
+    a, b = ([f"{x}{i}" for i in range(6)] for x in "ab")
+    rows += [(100 + i, " ".join(w for _ in range(10) for w in (rng.choice(a), rng.choice(b))), True) for i in range(40)]
+    rows += [(200, " ".join(w for pair in zip(a, b, strict=True) for w in pair), False), (201, " ".join([a[0], *b[:5], *a[1:], b[5]]), False)]
+    out = scoring.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), F.col("train"), heads=4, classes=6)
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[200].base_score == pytest.approx(got[201].base_score)
+    assert got[200].score > got[201].score + 3  # same words, but a follows b and b follows a only in the first
+
+
+def test_classes_do_not_depend_on_buckets(spark, docs):
+    got = []
+    for n in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append({r.doc_id: r.score for r in scoring.score(docs, ~scoring.held_out(F.col("doc_id")), heads=4, classes=6).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == pytest.approx(got[1], rel=1e-9)
+
+
+def test_votes_keep_the_evidence():
+    # one word: 1000 times between class 2 and class 3, 900 times the other way about
+    beside = scoring.gathered(np.array([0, 0]), np.array([2, 2]), np.array([2, 5 + 3, 3, 5 + 2]), np.array([1000, 1000, 900, 900]), 1, 5)
+    assert beside.tolist() == [[0, 0, 1000, 900, 0, 0, 0, 900, 1000, 0]]
+    g = np.zeros((5, 5))
+    g[2, 4] = g[4, 3] = g[3, 2] = 500
+    assert scoring.likeliest(beside, g).tolist() == [4]
+
+
 @pytest.mark.parametrize("held", [5, 1 << 20])
 def test_head_words_are_counted_in_full(spark, held):
     # "spread" is 21st in each task, but the commonest of all
