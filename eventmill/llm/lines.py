@@ -1,39 +1,57 @@
 """Line dedup: drop lines that many documents share.
 
-Lines are exploded as hashes of their normalised form, distinct documents are counted for each hash, and the
-hashes over the threshold go back to their documents, where each text is reassembled from what stays, in order.
+Lines are exploded once, as (document, position, hash of the normalised line), and written to a checkpoint.  From it distinct
+documents are counted for each hash, and the hashes over the threshold are joined back to the exploded rows: what goes
+back to a document are the positions of the lines it loses, and its text is reassembled by position from the others.
 All of it is built-in expressions; the shuffles carry 12-byte hashes, not lines.  Counting is by (hash, document)
 first and by hash then, both with map-side sums, so a line in every document is no hot task; the way back is an
-inner join that adaptive execution splits where a line is hot.
+inner join that adaptive execution splits where a line is hot.  Positions are taken out as a set, so the work on a text
+grows with its lines, however many of them go.
 
 Cases: null or empty text is one empty line and stays (null stays null).  A null document id counts as one
-document that comes before all others.  Rows that repeat an id are one document and are treated alike.  Columns
+document that comes before all others.  Rows that repeat an id are one document for the counts and are treated alike.  Columns
 of the input stay as they are, but those named like a result are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew
+from .common import dealt_anew, persist
 
 #: Fixed by the contract: white space stripped from both ends of a line.
 STRIP = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalised(line: Column) -> Column:
-    """White space off both ends, A-Z lower-cased and nothing else."""
-    key = F.btrim(line, F.lit(STRIP))
-    ascii_only = F.octet_length(key) == F.char_length(key)  # there, lower() does just that, and is many times faster
-    return F.when(ascii_only, F.lower(key)).otherwise(F.translate(key, UPPER, LOWER))
+def trimmed(line: Column) -> Column:
+    """White space off both ends; lines without any there, as most are, aren't walked through."""
+    ends = reduce(or_, [test(x) for x in STRIP for test in (line.startswith, line.endswith)])
+    return F.when(ends, F.btrim(line, F.lit(STRIP))).otherwise(line)
+
+
+def lowered(line: Column) -> Column:
+    """A-Z lower-cased and nothing else."""
+    ascii_only = F.octet_length(line) == F.char_length(line)  # there, lower() does just that, and is many times faster
+    return F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
-def fingerprint(line: Column, least: int) -> Column:
-    """96 bits of a line's key; null for keys that are too short to count."""
-    key = normalised(line)
-    return F.when(F.char_length(key) >= least, F.struct(F.xxhash64(key).alias("a"), F.hash(key).alias("b")))
+def line_keys(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """_id, _text (hash of the text: rows may repeat an id), _pos and 96 bits (_a, _c) of each line's key of at least `least` code points."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the text's hash is computed below the explode, not for each line
+    each = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.split(text, "\n", -1).alias("_lines"))
+    each = each.select("_id", "_text", F.posexplode("_lines").alias("_pos", "_line"))
+    each = each.filter(F.octet_length("_line") >= least)  # no more code points than bytes
+    # step by step, so that each is computed once
+    each = each.select("_id", "_text", "_pos", trimmed(F.col("_line")).alias("_line"))
+    each = each.select("_id", "_text", "_pos", F.char_length("_line").alias("_n"), lowered(F.col("_line")).alias("_line"))
+    each = each.select("_id", "_text", "_pos", "_n", F.xxhash64("_line").alias("_a"), F.hash("_line").alias("_c"))
+    return persist(each).filter(F.col("_n") >= least).drop("_n")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -42,29 +60,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line is dropped if its key has at least `min_chars` code points and occurs in at least `min_docs` distinct
     documents, of which this isn't the one with the largest id.
     """
-    prints = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: fingerprint(x, min_chars))
-    own = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.array_compact(prints))).alias("_k"))
-    own = own.select("_id", F.col("_k.a").alias("_a"), F.col("_k.b").alias("_c"))
+    keys = line_keys(docs, id_col, text_col, min_chars)
     shared = (
-        own.groupBy("_a", "_c", "_id").agg(F.lit(1).alias("_one"))
+        keys.groupBy("_a", "_c", "_id").agg(F.lit(1).alias("_one"))
         .groupBy("_a", "_c").agg(F.count("*").alias("_n"), F.max("_id").alias("_last"))
         .filter(F.col("_n") >= min_docs)
     )
     drops = (
-        dealt_anew(own, "_a").join(dealt_anew(shared, "_a"), ["_a", "_c"])
+        dealt_anew(keys, "_a").join(dealt_anew(shared, "_a"), ["_a", "_c"])
         .filter(~F.col("_id").eqNullSafe(F.col("_last")))
-        .groupBy("_id").agg(F.collect_set(F.struct(F.bitwise_not("_a").alias("a"), F.col("_c").alias("b"))).alias("_drop"))
+        .groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_drop"))
     )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_key"))
-    joined = rows.join(drops, F.col("_key").eqNullSafe(F.col("_id")), "left")
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_key"), F.xxhash64(whole).alias("_hash"))
+    joined = rows.join(drops, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left")
     text = F.col("_row")[text_col]
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), fingerprint(x, min_chars)), F.lit(False)))
-    joined = joined.select("_row", "_drop", lines.alias("_lines"), F.when(F.col("_drop").isNull(), lines).otherwise(stays).alias("_stay"))
+    known = F.coalesce(text, F.lit(""))
+    # _lines is used twice below: so it stays a step of its own, and isn't split again for each position
+    joined = joined.select("_row", "_drop", F.when(F.col("_drop").isNotNull(), F.split(known, "\n", -1)).alias("_lines"))
+    n = F.when(F.col("_drop").isNull(), F.octet_length(known) - F.octet_length(F.replace(known, F.lit("\n"))) + 1).otherwise(F.size("_lines"))
+    joined = joined.select("_row", "_drop", "_lines", n.alias("_n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_drop"))
     made = {
-        text_col: F.when(F.col("_drop").isNull(), text).otherwise(F.array_join("_stay", "\n")),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": (F.size("_lines") - F.size("_stay")).cast("long"),
+        text_col: F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")),
+        "n_lines": F.col("_n").cast("long"),
+        "n_dropped": F.coalesce(F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")), F.lit(0)).cast("long"),
     }
     names = [c for c in docs.columns if c not in made] + list(made)
     return joined.select(*[made[c].alias(c) if c in made else F.col("_row")[c].alias(c) for c in names])

@@ -76,6 +76,31 @@ def test_odd_lines(odd):
     assert len(out) == 7 and sum(r.text is None for r in out) == 2
 
 
+def test_lines_of_rows_that_repeat_an_id(spark):
+    """Positions belong to a row: rows with one id and different texts lose their own lines."""
+    line = "a line that is long enough"
+    rows = [(1, f"x\n{line}"), (1, f"{line}\ny\n{line}"), (1, f"x\n{line}"), (2, line.upper()), (3, f" {line}\t"), (None, f"z\n\n{line}\x0b"), (None, None)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda x: tuple(str(v) for v in x)
+    want = [(1, "x", 2, 1), (1, "x", 2, 1), (1, "y", 3, 2), (2, "", 1, 1), (3, f" {line}\t", 1, 0), (None, "z\n", 3, 1), (None, None, 1, 0)]
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out), key=key) == sorted(want, key=key)
+
+
+def test_many_lines_in_one_text(spark):
+    """Linear in lines, however many go: the text of a million lines loses a hundred thousand."""
+    shared = "\n".join(f"shared line number {i:09}" for i in range(100_000))
+    own = "\n".join(f"a line of its own {i:09}" for i in range(900_000))
+    rows = [(1, own + "\n" + shared), (2, shared), (3, shared)]
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[1].n_lines, out[1].n_dropped, out[1].text) == (1_000_000, 100_000, own)
+    assert (out[2].text, out[2].n_dropped, out[3].n_dropped) == ("", 100_000, 0)
+
+
+def test_lines_are_split_once(docs):
+    plan = lines.dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_packing(docs, documents, odd):
     rows = packing.pack(docs, budget=400, buckets=4).collect()
     want = {d: len(words_of(t)) + 1 for d, t in documents}
