@@ -24,19 +24,28 @@ from pyspark.sql import functions as F
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Buckets for each partition: so many evens out how hashing deals them.
 BUCKETS_PER_PARTITION = 3
-#: Parquet bytes of input for each partition.
-PARTITION_BYTES = 8 << 20
+#: Bytes of input for each partition: a bucket of them is a third or half, and takes some 20 times its size in a task.
+PARTITION_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where one machine does all the work."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="eventmill_")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints_"))
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def persist(df: DataFrame) -> DataFrame:
@@ -45,15 +54,21 @@ def persist(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids above are made up for rows without one (`with_bucket`).
+LAST_ID = 2**63 - 1 - 2**40
+#: Leaves of a plan that don't know their size say about 2**63.
+UNKNOWN = 1 << 60
+
+
 def partitions_for(df: DataFrame, partition_bytes: int = PARTITION_BYTES) -> int:
-    """Partitions by the size of the input: nothing else would hold at 100 TB."""
-    spark = df.sparkSession
-    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    try:
-        n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no statistics: what the session asks for
-        return least
-    return max(least, min(n // partition_bytes + 1, 1 << 20))
+    """Partitions by the bytes that the plan's leaves read (a join's own estimate is the product of its sides): at least what the session asks
+    for, and where a leaf doesn't know its size, at least as many as the table has."""
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(n >= UNKNOWN for n in sizes):
+        least = max(least, df.rdd.getNumPartitions())
+    return max(least, -(-sum(n for n in sizes if n < UNKNOWN) // partition_bytes))
 
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str, partitions: int, per_partition: int = BUCKETS_PER_PARTITION) -> DataFrame:
@@ -67,7 +82,7 @@ def with_bucket(docs: DataFrame, id_col: str, text_col: str, partitions: int, pe
     Rows without an id get one from their text at the upper end of the range, so they come after all others,
     equal ones together, and don't land in one bucket.
     """
-    top = F.lit(2**63 - 1) - F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(2**40 - 1))
+    top = F.lit(2**63 - 1) - F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(2**40 - 1))  # above LAST_ID
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), top).alias("_id"),

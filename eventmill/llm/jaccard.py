@@ -21,12 +21,14 @@ Hashes are of 64 bits.  Links are exact up to their collisions.
 
 Cases: null, empty or white-space texts have an empty set, n_shingles 0, and link with nothing; with fewer words than the shingle's the
 whole sequence is the one shingle; rows that repeat an id are documents of their own with one node between
-them; rows without an id come last under a made-up id (component_id of such a row may be one).
+them; rows without an id come last, equal texts as one node, and have component_id null where they are linked with no row that has one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX1, bucketed, chunks, dealt_anew, in_order, loose, mix, owner, pack, partitions_for, persist, scatter, unpack, utf8, with_bucket, word_hashes
+from .common import LAST_ID, MIX1, bucketed, chunks, dealt_anew, in_order, loose, mix, owner, pack, partitions_for, persist, scatter, unpack, utf8, with_bucket, word_hashes
 from .components import components
 
 WIDTH, NUM, DEN = 5, 80, 100
@@ -42,6 +44,8 @@ WIDTH, NUM, DEN = 5, 80, 100
 BUCKETS = 2
 #: Candidates of one leader for a task.
 GROUP = 512
+#: Documents of one token on either side of a tile.
+TILE = 1024
 SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8], np.uint64)
 
 
@@ -119,7 +123,7 @@ def reps_of(t: pa.Table, reps: pa.Table, width: int) -> tuple[np.ndarray, list[n
     return ids[own], shingle_sets(data, off, width)
 
 
-def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: int, num: int, den: int, group: int = GROUP) -> DataFrame:
+def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: int, num: int, den: int, group: int = GROUP, tile: int = TILE) -> DataFrame:
     """Links (a, b) between representatives, of which the components are those of all links. docs: bucketed; members: `shingles_of`."""
     reps = members.filter("_n > 0").groupBy("_c").agg(F.min(F.struct("_id", "_b")).alias("r")).select("r.*")
     reps = persist(reps.repartition(partitions, "_b"))
@@ -209,34 +213,36 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
     leaders = entries.groupBy("_tok").agg(F.min(F.struct("_rank", "_id", "_n", "_pos")).alias("l"), F.count("*").alias("_m")).filter("_m > 1").select("_tok", F.col("l._id").alias("_lead"), F.col("l._n").alias("_ln"), F.col("l._pos").alias("_lpos"))
 
     def near(n, pos, m, place):
-        """From a shared token on, so many may be common: of the first shared one, all. Fits if that is enough at these sizes."""
-        return F.least(n - pos, m - place) * (num + den) >= (n + m) * num
+        """Sizes fit, and from a shared token on, so many may be common: of the first shared one, all."""
+        sizes = (n * num <= m * den) & (m * num <= n * den)
+        return sizes & (F.least(n - pos, m - place) * (num + den) >= (n + m) * num)
 
     pairs = dealt_anew(entries, "_tok").join(dealt_anew(leaders, "_tok"), "_tok").filter("_id != _lead")
     pairs = pairs.filter(near(F.col("_n"), F.col("_pos"), F.col("_ln"), F.col("_lpos"))).select(F.col("_lead").alias("_a"), F.col("_id").alias("_z")).distinct()
-    links = persist(verified(pairs, found, num, den, group))
     # what the leaders' links leave apart: pairs of a token in different components
-    comps = components(links, "_a", "_z")
+    comps = components(verified(pairs, found, num, den, group), "_a", "_z")
     labelled = entries.join(comps, entries["_id"] == comps["node"], "left").select("_tok", "_pos", "_id", "_n", "_rank", F.coalesce("component", "_id").alias("_comp"))
-    apart = labelled.groupBy("_tok").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.min(F.struct("_rank", "_id")).alias("_lead")).filter("lo != hi").select("_tok", F.col("_lead._id").alias("_lead"))
+    apart = labelled.groupBy("_tok").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.min(F.struct("_rank", "_id")).alias("_lead"), F.ceil(F.count("*") / tile).cast("int").alias("_parts"))
+    apart = apart.filter("lo != hi").select("_tok", F.col("_lead._id").alias("_lead"), "_parts")
     rest = dealt_anew(labelled, "_tok").join(dealt_anew(apart, "_tok"), "_tok").filter("_id != _lead")  # the leader has been compared with all
-    x, y = rest.alias("x"), rest.alias("y")
+    # documents of a token in tiles of both sides, so that none is larger than tile x tile
+    own, every = F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    x = rest.select("*", own.alias("_px"), every.alias("_py")).alias("x")
+    y = rest.select("*", own.alias("_py"), every.alias("_px")).alias("y")
     fits = near(F.col("x._n"), F.col("x._pos"), F.col("y._n"), F.col("y._pos"))
-    more = x.join(y, (F.col("x._tok") == F.col("y._tok")) & (F.col("x._id") < F.col("y._id")) & (F.col("x._comp") != F.col("y._comp")) & fits)
+    same = reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("_tok", "_px", "_py")])
+    more = x.join(y, same & (F.col("x._id") < F.col("y._id")) & (F.col("x._comp") != F.col("y._comp")) & fits)
     more = more.select(F.col("x._id").alias("_a"), F.col("y._id").alias("_z")).distinct()
-    return links.union(verified(more, found, num, den, group))
+    return comps.select(F.col("node").alias("_a"), F.col("component").alias("_z")).union(verified(more, found, num, den, group))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, group: int) -> DataFrame:
     """The pairs (_a, _z) that share prefix tokens under B2 and B3 and whose sets are similar. sets: _id, _n, _common."""
-    fits = (F.col("an") * num <= F.col("zn") * den) & (F.col("zn") * num <= F.col("an") * den)
-    sizes = sets.select("_id", "_n")
-    pairs = pairs.join(sizes.toDF("_a", "an"), "_a").join(sizes.toDF("_z", "zn"), "_z").filter(fits)
-    pairs = pairs.select("_a", "_z", "an", "zn", F.pmod(F.xxhash64("_z"), F.lit(1 << 20)).alias("_h"))
-    many = pairs.groupBy("_a").agg(F.max("an").alias("an"), F.ceil(F.count("*") / group).cast("int").alias("_parts"))
-    dealt = pairs.join(many.select("_a", "_parts"), "_a").withColumn("_part", (F.col("_h") % F.col("_parts")).cast("int"))
-    others = dealt.join(sets.select(F.col("_id").alias("_z"), "_common"), "_z").select("_a", "_part", "_z", F.col("zn").alias("_n"), "_common")
-    leads = many.join(sets.select(F.col("_id").alias("_a"), "_common"), "_a").select("_a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(None).cast("long").alias("_z"), F.col("an").alias("_n"), "_common")
+    pairs = pairs.select("_a", "_z", F.pmod(F.xxhash64("_z"), F.lit(1 << 20)).alias("_h"))
+    many = pairs.groupBy("_a").agg(F.ceil(F.count("*") / group).cast("int").alias("_parts"))
+    dealt = pairs.join(many, "_a").withColumn("_part", (F.col("_h") % F.col("_parts")).cast("int"))
+    others = dealt.join(sets.select(F.col("_id").alias("_z"), "_n", "_common"), "_z").select("_a", "_part", "_z", "_n", "_common")
+    leads = many.join(sets.select(F.col("_id").alias("_a"), "_n", "_common"), "_a").select("_a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(None).cast("long").alias("_z"), "_n", "_common")
 
     def pre(tokens: np.ndarray, level: np.ndarray, n: int, seed: int) -> np.ndarray:
         size = prefix_size(n, num, den) - (n - len(tokens))  # the tokens that occur once come first
@@ -274,5 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a class whose representative also stands for another class (rows that repeat an id) is in one component with it
     reps = reps.join(comps, reps["_rep"] == comps["node"], "left").select("_c", F.coalesce("component", "_rep").alias("_comp"))
     out = members.join(reps, "_c", "left")
+    comp = F.coalesce("_comp", "_id")
+    made_up = F.col("_row")[id_col].isNull() & (comp > F.lit(LAST_ID))
     names = [c for c in docs.columns if c not in (text_col, "n_shingles", "component_id", "kept")]
-    return out.select(*[F.col("_row")[c].alias(c) for c in names], F.col("_n").alias("n_shingles"), F.coalesce("_comp", "_id").alias("component_id"), (F.coalesce("_comp", "_id") == F.col("_id")).alias("kept"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], F.col("_n").alias("n_shingles"), F.when(~made_up, comp).alias("component_id"), (comp == F.col("_id")).alias("kept"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 from conftest import words_of
 
 from eventmill.llm import jaccard
+from eventmill.llm.common import partitions_for
 from eventmill.llm.components import components
 
 
@@ -52,3 +53,26 @@ def test_chains(spark):
     links = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 45), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {**dict.fromkeys(range(31), 0), 40: 40, 45: 40, 50: 40}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b", local=4).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), 40: 40, 45: 40, 50: 40}
+
+
+def test_tiles_lose_no_link(spark):
+    """Documents of a token in tiles of two, and leaders of one: the same components."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(d, " ".join(base[:i] + [f"x{d}"] + base[i + 1 :])) for d, i in enumerate([0, 39, 0, 39, 1, 38, 2, 37])] + [(50 + d, f"{d} " + " ".join(base[:30])) for d in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = jaccard.bucketed(docs, "doc_id", "text", 4, 2)
+    members = jaccard.persist(jaccard.shingles_of(jaccard.with_bucket(docs, "doc_id", "text", 4, 2), 5))
+    links = jaccard.similar_links(dealt, members, 4, 5, 80, 100, group=1, tile=2)
+    got = {r.node: r.component for r in components(links, "_a", "_z").collect()}
+    assert {d: got.get(d, d) for d, _ in rows} == {d: c for d, (_, c) in brute(rows).items()}
+
+
+def test_partitions_grow_with_the_input(spark):
+    sizes = [partitions_for(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"), 100_000) for sf in ("0.01", "0.1")]
+    assert 4 <= sizes[0] and 5 * sizes[0] < sizes[1] < 100 * sizes[0]
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    joined = d.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    assert partitions_for(joined, 100_000) < 3 * sizes[0]
+    assert partitions_for(spark.createDataFrame([(1,)], "a long").repartition(9).checkpoint(), 1) < 1000
