@@ -5,13 +5,13 @@ Each stage takes all that the one before kept; texts change with its decisions,
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventmill.llm import jaccard, language, lines, packing, repeats
+from eventmill.llm.common import shared_folder
 
 #: A text goes if no language has this share of it; mixed texts stay.
 LEAST_SHARE = 0.3
@@ -64,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline_")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{base}/{i}"
