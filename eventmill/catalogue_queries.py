@@ -366,7 +366,7 @@ def card_badges(spark, sf_dir):
     return e.select("id", F.array_join(derive.badges(e, AGE, now()), "|").alias("badges"))
 
 
-@query("""SELECT city, count(*) AS n, count(*) FILTER (list_contains(audiences, 'families')) AS families, sum(price_from) FILTER (NOT is_free) AS paid FROM cat WHERE anytime = false GROUP BY city""")
+@query("""SELECT city, count(*) AS n, count(*) FILTER (list_contains(audiences, 'families')) AS families, CAST(sum(CAST(round(price_from * 100) AS BIGINT)) FILTER (NOT is_free) AS BIGINT) AS paid_pence FROM cat WHERE anytime = false GROUP BY city""")
 def city_totals(spark, sf_dir):
     e = events(spark, sf_dir).filter(filters.calendar_able(S(), ANY()))
-    return e.groupBy("city").agg(F.count("*").alias("n"), F.count_if(F.array_contains("audiences", "families")).alias("families"), F.sum(F.when(~F.col("is_free"), F.col("price_from"))).alias("paid"))
+    return e.groupBy("city").agg(F.count("*").alias("n"), F.count_if(F.array_contains("audiences", "families")).alias("families"), F.sum(F.when(~F.col("is_free"), F.round(F.col("price_from") * 100).cast("long"))).alias("paid_pence"))

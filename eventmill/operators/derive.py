@@ -93,7 +93,7 @@ def haystack(events: DataFrame) -> Column:
     return F.lower(F.concat_ws(" ", *parts))
 
 
-def badges(events: DataFrame, age: int, now: Column, stale_hours: int = 48) -> Column:
+def badges(events: DataFrame, age: int, now: Column) -> Column:
     """The ordered badges of a card."""
     c = lambda name, kind="string": F.col(name) if name in events.columns else F.lit(None).cast(kind)
     aud = F.coalesce(c("audiences", "array<string>"), F.array().cast("array<string>"))
@@ -124,17 +124,6 @@ def clock_fill(start: Column, end: Column, time_start: Column, time_end: Column)
     return begin, F.coalesce(end, late)
 
 
-def end_by_precedence(start: Column, stated: Column, range_end: Column, printed: Column) -> Column:
-    """The stated end unless it is before the start; else the range's; else the day's printed end time (minutes)."""
-    day_end = F.timestamp_add("MINUTE", printed, F.date_trunc("day", start).cast("timestamp_ntz"))
-    return F.coalesce(F.when(stated >= start, stated), range_end, day_end)
-
-
-def open_run_text(date_text: Column) -> Column:
-    """The wording of a run without a stated beginning, which is kept for display."""
-    return F.when(date_text.rlike(r"(?i)^\s*(?:on now\s+)?(?:until|till|through(?:out)?|ends?)\b"), F.trim(date_text))
-
-
 def narrative(*parts: Column) -> Column:
     """Sentences that apply, in order; null if none."""
     return F.nullif(F.concat_ws(" ", *parts), F.lit(""))

@@ -33,10 +33,3 @@ def sections(events: DataFrame, now) -> DataFrame:
     key = F.when(on, "").otherwise(F.coalesce(F.date_format("start_ts", "yyyy-MM"), F.lit("9999")))
     counts = events.groupBy(key.alias("_k"), label.alias("label")).agg(F.count("*").alias("n"))
     return counts.select(F.dense_rank().over(Window.orderBy("_k")).alias("section_no"), "label", "n")
-
-
-def first_runs(events: DataFrame, by: str = "date") -> DataFrame:
-    """Rows in order with a flag where the month changes from the row before. Months are ordered globally by partitioning on them."""
-    month = F.coalesce(F.date_format("start_ts", "yyyy-MM"), F.lit("9999"))
-    w = Window.partitionBy("month").orderBy(*order(by, None))
-    return events.withColumn("month", month).withColumn("first_of_month", F.row_number().over(w) == 1)

@@ -87,13 +87,6 @@ def calendar_able(start: Column, anytime: Column) -> Column:
     return ~anytime & start.isNotNull()
 
 
-def required(events: DataFrame, need_url: bool = False) -> DataFrame:
-    """Rows with a title and a start, and a URL if asked for."""
-    filled = lambda c: F.length(F.trim(F.col(c))) > 0
-    out = events.filter(filled("title") & F.col("start").isNotNull())
-    return out.filter(filled("url")) if need_url else out
-
-
 def without_hidden(events: DataFrame, hidden: DataFrame, saved_only: bool = False) -> DataFrame:
     return events if saved_only else events.join(hidden.select("id"), "id", "left_anti")
 

@@ -12,7 +12,7 @@ from ..functions.clock import instant_utc, iso, london
 from ..schema import EVENT_COLUMNS, REPORT_SCHEMA
 from ..sources import scans
 from . import reconcile, sinks
-from .storage import settle
+from .storage import exists, settle
 
 
 def with_clocks(events: DataFrame) -> DataFrame:
@@ -39,6 +39,12 @@ def build(docs: DataFrame, sources: list[dict], last_events: DataFrame, last_rep
     return out.select(*EVENT_COLUMNS, "carried").orderBy(F.coalesce("start", F.lit("9999")), "title", "id"), report
 
 
+def clock_now(spark: SparkSession) -> str:
+    """The time in London as ISO text, for command lines only: plans take it as an argument."""
+    utc = F.lit(datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return spark.range(1).select(iso(london(utc)).alias("now")).first()["now"]
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description="Scan staged documents, reconcile with the last snapshot, publish.")
     p.add_argument("--documents", required=True, help="JSON lines of source, page, raw")
@@ -48,12 +54,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--allow-drop", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("eventmill").getOrCreate()
-    utc = F.lit(datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    now = spark.range(1).select(iso(london(utc)).alias("now")).first()["now"]
-    try:
-        reports = spark.read.schema(REPORT_SCHEMA).json(f"{a.snapshot}/sources")
-    except Exception:  # the first run has no snapshot
-        reports = spark.createDataFrame([], REPORT_SCHEMA)
+    now = clock_now(spark)
+    first = not exists(spark, f"{a.snapshot}/sources")
+    reports = spark.createDataFrame([], REPORT_SCHEMA) if first else spark.read.schema(REPORT_SCHEMA).json(f"{a.snapshot}/sources")
     docs = spark.read.schema("source string, page int, raw string").json(a.documents)
     events, report = build(docs, scans.registry(spark, a.registry), scans.snapshot(spark, a.snapshot), settle(reports), now, set(a.only or []), a.allow_drop)
     sinks.write_snapshot(settle(events).drop("carried"), report, a.snapshot, {"generated_at": now})

@@ -109,5 +109,5 @@ def probe(events: DataFrame, probes: DataFrame) -> DataFrame:
     """Link states of entries by hand. probes: url, http_status, final_url; a URL is probed once however many rows have it."""
     from ..functions.text import to_root
 
-    p = probes.dropDuplicates(["url"]).select("url", F.col("http_status").alias("_st"), F.when(to_root(F.col("url"), F.col("final_url")), "redirects to the site's front page").alias("link_warning"))
+    p = probes.dropDuplicates(["url"]).select("url", F.col("http_status").alias("_st"), F.when(F.col("final_url").isNotNull() & to_root(F.col("url"), F.col("final_url")), "redirects to the site's front page").alias("link_warning"))
     return events.join(p, "url", "left").withColumn("link_status", F.coalesce("_st", "link_status")).drop("_st")

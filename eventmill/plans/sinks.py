@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import derive, filters
+from .storage import exists, replace
 
 
 def optional(events: DataFrame, name: str, kind: str = "string"):
@@ -69,6 +70,12 @@ def calendar_entries(events: DataFrame, stamp: str) -> DataFrame:
     return e.select("id", F.concat_ws("\r\n", *lines).alias("entry"))
 
 
+def calendar_counts(events: DataFrame) -> DataFrame:
+    """One row: events written to a calendar, and those skipped for want of a date."""
+    able = filters.calendar_able(F.col("start_ts"), F.col("anytime"))
+    return events.agg(F.count_if(able).alias("written"), F.count_if(~F.coalesce(able, F.lit(False))).alias("skipped"))
+
+
 def write_calendar(events: DataFrame, path: str, stamp: str) -> None:
     """Calendar files, one a partition: each is whole by itself."""
     entries = calendar_entries(events, stamp)
@@ -83,21 +90,19 @@ def write_calendar(events: DataFrame, path: str, stamp: str) -> None:
     entries.mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
 
 
+def write_events(events: DataFrame, path: str) -> None:
+    """Events as JSON without empty fields."""
+    derive.without_empty(events).write.mode("overwrite").option("ignoreNullFields", True).json(path)
+
+
 def write_snapshot(events: DataFrame, reports: DataFrame, path: str, header: dict) -> None:
     """events/ and sources/ as JSON without empty fields, and header.json, written to one side and then renamed."""
     spark = events.sparkSession
     side = f"{path}.new"
-    derive.without_empty(events).write.mode("overwrite").option("ignoreNullFields", True).json(f"{side}/events")
+    write_events(events, f"{side}/events")
     reports.write.mode("overwrite").option("ignoreNullFields", True).json(f"{side}/sources")
     spark.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{side}/header")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    new, old = hadoop(side), hadoop(path)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(hadoop(f"{path}.old"), True)
-        fs.rename(old, hadoop(f"{path}.old"))
-    fs.rename(new, old)
-    fs.delete(hadoop(f"{path}.old"), True)
+    replace(spark, side, path)
 
 
 def health_panel(reports: DataFrame) -> DataFrame:
@@ -109,8 +114,7 @@ def health_panel(reports: DataFrame) -> DataFrame:
 
 def user_ids(spark, path: str) -> DataFrame:
     """A stored table of ids; an empty one where there is none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return spark.createDataFrame([], "id string")
     return spark.read.schema("id string").json(path)
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue_queries import CATALOGUE_SQL, SQL_CURRENT, events, now
 from .functions import clock, text
-from .operators import filters, resolve
-from .plans import reconcile, sinks
+from .operators import derive, filters, resolve
+from .plans import classify, reconcile, sinks, verify
+from .plans.storage import shared_folder
 from .sources import scans
 from .sources.catalogue import NOW, table
 from .taxonomy import alternation, infer
@@ -244,7 +245,7 @@ scan_query("scan_html", "html", LISTING, HTML, [
     ("Night tour", "2026-10-20T10:30:00+01:00", None, "sold_out", 0.0, 13, 26, "", "", "https://hall.org/e/2|London|all day|free|"),
 ])
 scan_query("scan_jsonld", "jsonld", TREE, JSONLD, [
-    ("Clay", "2026-07-01T00:00:00+01:00", "2026-08-01T00:00:00+01:00", "scheduled", 8.0, None, None, "adults|children|families|teens", "", "https://arts.org/clay|Kiln|Leeds|all day|run|"),
+    ("Clay", "2026-07-01T00:00:00+01:00", "2026-08-01T00:00:00+01:00", "scheduled", 8.0, None, None, "adults|children|families|teens", "Design, making & architecture", "https://arts.org/clay|Kiln|Leeds|all day|run|"),
     ("Talk", "2026-07-02T20:00:00+01:00", None, "postponed", 0.0, None, None, "", "", "https://arts.org/on|all day|free|"),
 ])
 scan_query("scan_ics", "ics", FEED, ICS, [
@@ -271,15 +272,71 @@ def paginate_stop(spark, sf_dir):
     return scans.pagination(spark.createDataFrame(pages, "source string, page int, keys array<string>, missing boolean"), 5)
 
 
-@query("SELECT 'Robots at work' AS title, CAST(12 AS INT) AS age_min, CAST(NULL AS INT) AS age_max, 'adults|children|teens' AS audiences, CAST(3.5 AS DOUBLE) AS price_from, '2026-09-10T19:00:00+01:00' AS start_iso, 'Making' AS topics")
+@query("SELECT 'Robots at work' AS title, CAST(12 AS INT) AS age_min, CAST(NULL AS INT) AS age_max, 'adults|children|teens' AS audiences, CAST(3.5 AS DOUBLE) AS price_from, '2026-09-10T19:00:00+01:00' AS start_iso, 'Making' AS topics, 'Engineering|Law & justice' AS careers, 2 AS attempted, 1 AS enriched, 1 AS failed, 1 AS ages_added")
 def detail_enrich(spark, sf_dir):
     page = '<div class="who field"><div class="field__label">Who</div><div class="field__item">12+</div></div><div class="cost">£3.50</div><div class="tags"><li>Making</li><li>,</li></div><div class="time">7pm</div>'
     raw = LISTING.replace('<span class="price">£5</span>', "").replace(" for ages 11-16", "").replace("For people aged 13 - 26.", "")
     bare = [{**HTML[0], "page_confirm": []}]
     e = scans.scan_html(spark.createDataFrame([("hall", 1, raw)], "source string, page int, raw string"), bare, "2026-06-01T12:00:00+01:00")
+    asked = scans.to_enrich(e)
     found = scans.details(spark.createDataFrame([("https://hall.org/e/1", page), ("https://hall.org/e/2", None)], "url string, raw string"), {"age": ".who", "price": ".cost", "topics": ".tags", "time": ".time"})
-    out = scans.enrich(e, found, "2026-06-01").filter("title = 'Robots at work'")
-    return out.select("title", "age_min", "age_max", F.array_join("audiences", "|").alias("audiences"), "price_from", F.col("start").alias("start_iso"), F.array_join("topics", "|").alias("topics"))
+    out = scans.enrich(e, found, "2026-06-01", [{"key": "hall", "career_topics": ["law"]}])
+    counts = scans.enrichment_counts(asked, found, e, out)
+    out = out.filter("title = 'Robots at work'").crossJoin(counts.select("attempted", "enriched", "failed", "ages_added")).withColumn("careers", F.array_join("careers", "|"))  # one row of counts
+    return out.select("title", "age_min", "age_max", F.array_join("audiences", "|").alias("audiences"), "price_from", F.col("start").alias("start_iso"), F.array_join("topics", "|").alias("topics"), "careers", "attempted", "enriched", "failed", "ages_added")
+
+
+@query("SELECT * FROM (VALUES ('a', 'Ages 16+', CAST(16 AS INT)), ('b', NULL, NULL)) t(title, age_text, age_min)")
+def page_claims(spark, sf_dir):
+    """A claim holds for the rows of the page that makes it, not for the source's other pages."""
+    item = '<li class="card"><h3>{0}</h3><time>1 October 2026</time><a href="/{0}">x</a></li>'
+    docs = spark.createDataFrame([("s", 1, item.format("a") + "<p>All talks are for over 16s.</p>"), ("s", 2, item.format("b"))], "source string, page int, raw string")
+    source = {"key": "s", "kind": "html", "url": "https://s.org", "selectors": {"item": ".card", "title": "h3", "date": "time", "link": "a"}, "page_confirm": [{"phrase": "for over 16s", "sets": {"age_min": 16, "age_text": "Ages 16+"}}]}
+    return scans.scan_html(docs, [source], "2026-06-01T12:00:00+01:00").select("title", "age_text", "age_min")
+
+
+@query(CACHE_SQL + " SELECT key, array_to_string(labels, '|') AS labels FROM cache WHERE key IN (SELECT key FROM texts)", CATALOGUE_SQL)
+def cache_roundtrip(spark, sf_dir):
+    """Written to disk twice and read again."""
+    _, _, cache = cached(spark, sf_dir)
+    path = f"{shared_folder(spark).rstrip('/')}/labels-{uuid.uuid4().hex}"
+    classify.write_cache(cache.limit(0), path)
+    classify.write_cache(classify.answered(classify.read_cache(spark, path), cache.select("key", F.to_json("labels").alias("reply")).limit(0), MODEL, PROMPT).unionByName(cache), path)
+    return classify.read_cache(spark, path).select("key", F.array_join("labels", "|").alias("labels"))
+
+
+@query(CACHE_SQL + f""" SELECT cat.id, array_to_string(coalesce(cache.labels, ['Law & justice']), '|') AS careers FROM cat LEFT JOIN cache ON cache.key = {CACHE_KEY_SQL}""", CATALOGUE_SQL)
+def retag_publish(spark, sf_dir):
+    """A published snapshot, rewritten with the cache's labels."""
+    e, _, cache = cached(spark, sf_dir)
+    path = f"{shared_folder(spark).rstrip('/')}/retag-{uuid.uuid4().hex}"
+    sinks.write_snapshot(e.drop("start_ts", "end_ts", "order_key", "priority"), spark.createDataFrame([("src_0", "ok")], "key string, status string"), path, {"generated_at": NOW})
+    return classify.retag_published(spark, path, cache, MODEL, PROMPT).select("id", F.array_join("careers", "|").alias("careers"))
+
+
+@query(f""" SELECT count(*) FILTER (start_ts IS NOT NULL AND NOT anytime) AS written, count(*) FILTER (start_ts IS NULL OR anytime) AS skipped FROM cat""", CATALOGUE_SQL)
+def calendar_counts(spark, sf_dir):
+    return sinks.calendar_counts(events(spark, sf_dir))
+
+
+@query(""" SELECT state, count(*) AS n FROM (SELECT CASE WHEN verified_on IS NULL THEN 'never' WHEN date_diff('day', verified_on, DATE '1998-06-01') > 90 THEN 'expired' ELSE 'ok' END AS state FROM cat) WHERE state <> 'ok' GROUP BY 1""", CATALOGUE_SQL)
+def verification_to_do(spark, sf_dir):
+    none = F.lit(None).cast("int")
+    return verify.to_do(events(spark, sf_dir).withColumn("state", verify.entry_state(none, F.lit(False), F.col("verified_on"), F.lit("1998-06-01").cast("date"))))
+
+
+@query(""" SELECT id, CAST(CASE c % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS INT) AS link_status, CASE WHEN c % 3 = 0 THEN 'redirects to the site''s front page' END AS link_warning FROM cat JOIN (SELECT o_orderkey, o_custkey AS c FROM orders) o ON o_orderkey = order_key""", CATALOGUE_SQL)
+def link_probe(spark, sf_dir):
+    """Rows with what a probe of their links found; the probes come as a table."""
+    e = events(spark, sf_dir).withColumn("link_status", F.lit(None).cast("int"))
+    by = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), (F.col("o_custkey") % 3).alias("c"))
+    probes = e.select("order_key", "url").join(by, "order_key").filter("c < 2").select("url", F.when(F.col("c") == 0, 200).otherwise(404).alias("http_status"), F.when(F.col("c") == 0, F.regexp_extract("url", "^https://[^/]+/", 0)).alias("final_url"))
+    return reconcile.probe(e, probes).select("id", "link_status", "link_warning")
+
+
+@query("SELECT event_id, ts < TIMESTAMP '2024-01-08' - INTERVAL 48 HOUR AS stale FROM events")
+def row_staleness(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", derive.is_stale(F.col("ts").cast("timestamp_ntz"), F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")).alias("stale"))
 
 
 # ---- sinks ----
@@ -296,8 +353,7 @@ def ics_export(spark, sf_dir):
 @query(""" SELECT id, title, start, "end" AS end_iso, city, age_min, array_to_string(topics, '|') AS topics FROM cat""", CATALOGUE_SQL)
 def snapshot_roundtrip(spark, sf_dir):
     """Published as JSON in the shared folder and read again with the fixed schema."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="snapshot_")
-    path = f"{shared.rstrip('/')}/snapshot-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark).rstrip('/')}/snapshot-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}-{spark.sparkContext.applicationId}"
     e = events(spark, sf_dir)
     report = reported(spark, sf_dir)[0]
     sinks.write_snapshot(e.drop("start_ts", "end_ts", "order_key", "priority"), report, path, {"generated_at": NOW})

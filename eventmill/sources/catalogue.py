@@ -44,7 +44,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 50 == 0).alias("anytime"),
         F.when(k % 37 == 0, "cancelled").when(k % 41 == 0, "postponed").otherwise("scheduled").alias("status"),
         F.col("r_name").alias("city"), (F.col("c_mktsegment") == "MACHINERY").alias("online"),
-        F.when(k % 7 == 0, None).when(free, 0.0).otherwise(F.round(F.col("o_totalprice") / 1000, 2)).alias("price_from"),
+        F.when(k % 7 == 0, None).when(free, 0.0).otherwise(F.floor(F.col("o_totalprice") / 10 + 0.5) / 100).alias("price_from"),
         F.when(k % 7 == 0, None).otherwise(free).alias("is_free"),
         pick(0).alias("age_min"), pick(1).alias("age_max"),
         F.when(c % 5 == 0, strings()).when(c % 5 == 1, strings("children")).when(c % 5 == 2, strings("families")).when(c % 5 == 3, strings("teens")).otherwise(strings("adults")).alias("audiences"),
@@ -70,7 +70,7 @@ raw AS (
     'https://' || source || '.example.org/e/' || k AS url, source, 'Source ' || (k % 5) AS source_name, CAST(10 * (k % 5 + 1) AS INT) AS priority,
     start_ts, end_ts, k % 50 = 0 AS anytime, CASE WHEN k % 37 = 0 THEN 'cancelled' WHEN k % 41 = 0 THEN 'postponed' ELSE 'scheduled' END AS status,
     r_name AS city, c_mktsegment = 'MACHINERY' AS online,
-    CASE WHEN k % 7 = 0 THEN NULL WHEN k % 5 = 0 THEN 0.0::DOUBLE ELSE round(o_totalprice / 1000, 2) END AS price_from,
+    CASE WHEN k % 7 = 0 THEN NULL WHEN k % 5 = 0 THEN 0.0::DOUBLE ELSE floor(o_totalprice / 10 + 0.5) / 100 END AS price_from,
     CASE WHEN k % 7 = 0 THEN NULL ELSE k % 5 = 0 END AS is_free,
     CAST(CASE c % 6 WHEN 1 THEN 13 WHEN 2 THEN 16 WHEN 4 THEN 11 WHEN 5 THEN 18 END AS INT) AS age_min,
     CAST(CASE c % 6 WHEN 3 THEN 12 WHEN 4 THEN 16 END AS INT) AS age_max,

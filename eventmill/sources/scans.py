@@ -16,13 +16,14 @@ from collections.abc import Callable, Iterator
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ages, clock, ical, prices, prose, text
-from ..operators import derive
+from ..operators import derive, filters
 from ..operators.resolve import first_wins
-from ..schema import EVENT_COLUMNS, EVENT_SCHEMA
+from ..plans.storage import exists
+from ..schema import EVENT_COLUMNS, EVENT_SCHEMA, LIST_COLUMNS
 from ..taxonomy import careers, work_styles
 from .markup import field_values, pick, tree
 
@@ -30,7 +31,7 @@ from .markup import field_values, pick, tree
 FOUND = (
     "source string, page int, pos int, ident string, title string, url string, begin string, finish string, all_day boolean, ongoing boolean, time_text string, "
     "when_text string, status string, summary string, venue_name string, city string, lat double, lon double, online boolean, price_text string, "
-    "booking_url string, age_text string, age_labels array<string>, topics array<string>, own_topics array<string>, provenance string, stated_price double, stated_currency string"
+    "booking_url string, age_text string, age_labels array<string>, topics array<string>, own_topics array<string>, provenance string, stated_price double, stated_currency string, offers string"
 )
 NAMES = [f.split()[0] for f in FOUND.split(",")]
 Walk = Callable[[str, dict, date], Iterator[dict]]
@@ -51,7 +52,7 @@ def walked(docs: DataFrame, sources: list[dict], now: str, walk: Walk) -> DataFr
     return docs.select("source", "page", "raw").mapInPandas(run, FOUND)
 
 
-def typed(found: DataFrame, sources: list[dict], union_ages: bool = False, now: str = "") -> DataFrame:
+def typed(found: DataFrame, sources: list[dict], union_ages: bool = False, now: str = "", more: tuple[str, ...] = ()) -> DataFrame:
     """Event rows of found items: first of each id in (page, pos) order; registry values fill what an item lacks."""
     spark = found.sparkSession
     fields = "key string, name string, r_venue string, r_city string, r_lat double, r_lon double, r_topics array<string>, r_career string"
@@ -78,7 +79,7 @@ def typed(found: DataFrame, sources: list[dict], union_ages: bool = False, now:
         "work_styles": work_styles(F.col("title"), F.col("summary")),
         "link_status": F.lit(None).cast("int"), "verified_on": F.lit(None).cast("string"), "last_seen": F.lit(None).cast("string"),
     }
-    return derive.range_sane(e.withColumns(made)).select(*EVENT_COLUMNS)
+    return derive.range_sane(e.withColumns(made)).select(*EVENT_COLUMNS, *more)
 
 
 # ---- HTML listings ----
@@ -124,7 +125,8 @@ def resolve(base: str, link: str) -> str:
 
 
 def scan_html(docs: DataFrame, sources: list[dict], now: str) -> DataFrame:
-    return with_page_claims(typed(walked(docs, sources, now, html_items), sources), docs, sources)
+    found = typed(walked(docs, sources, now, html_items), sources, more=("page",))
+    return with_page_claims(found, docs, sources).select(*EVENT_COLUMNS)
 
 
 def rules_of(spark: SparkSession, sources: list[dict], key: str) -> DataFrame:
@@ -141,11 +143,11 @@ def confirmed_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def with_page_claims(events: DataFrame, docs: DataFrame, sources: list[dict]) -> DataFrame:
-    """What a listing says of all its rows, while it says so; else a note that the claim was dropped."""
+    """What a page of a listing says of all its rows, while it says so; else a note that the claim was dropped. events: with their page."""
     if not any(s.get("page_confirm") for s in sources):
         return events
     rules = rules_of(events.sparkSession, sources, "page_confirm")
-    state = confirmed_rules(docs, rules).select("source", F.explode("rules").alias("r")).groupBy("source").agg(
+    state = confirmed_rules(docs, rules).select("source", "page", F.explode("rules").alias("r")).groupBy("source", "page").agg(
         F.first(F.when(F.col("r.ok"), F.get_json_object("r.sets", "$.age_min").cast("int")), True).alias("_min"),
         F.first(F.when(F.col("r.ok"), F.get_json_object("r.sets", "$.age_max").cast("int")), True).alias("_max"),
         F.first(F.when(F.col("r.ok"), F.get_json_object("r.sets", "$.age_text")), True).alias("_text"),
@@ -153,11 +155,11 @@ def with_page_claims(events: DataFrame, docs: DataFrame, sources: list[dict]) ->
         F.array_sort(F.collect_set(F.when(~F.col("r.ok"), F.concat(F.lit("“"), "r.phrase", F.lit("”"))))).alias("_gone"),
     )
     note = F.when(F.size("_gone") > 0, F.concat(F.lit("the listing page no longer says "), F.array_join("_gone", "; "), F.lit(", so that claim was dropped")))
-    out = events.join(state, "source", "left").withColumns({
+    out = events.join(state, ["source", "page"], "left").withColumns({
         "age_min": F.coalesce("_min", "age_min"), "age_max": F.coalesce("_max", "age_max"), "age_text": F.coalesce("age_text", "_text"),
         "audiences": F.coalesce("_aud", "audiences"), "provenance": F.coalesce("provenance", note),
     })
-    return out.select(*EVENT_COLUMNS)
+    return out.select(*events.columns)
 
 
 def page_keys(docs: DataFrame, sources: list[dict]) -> DataFrame:
@@ -180,8 +182,6 @@ def pagination(pages: DataFrame, max_pages: int) -> DataFrame:
     """source, last_page, complete: where a walk over numbered pages ends. pages: source, page, keys, missing (no such page).
 
     It ends whole at a missing page or one with no new rows, and cut short at the second blank page in a row or after `max_pages`."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy("source").orderBy("page")
     first = pages.select("source", F.explode("keys").alias("k"), "page").groupBy("source", "k").agg(F.min("page").alias("page"))
     fresh = first.groupBy("source", "page").agg(F.count("*").alias("fresh"))
@@ -214,8 +214,26 @@ def details(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
     return pages.select("url", "raw").mapInPandas(run, DETAIL)
 
 
-def enrich(events: DataFrame, found: DataFrame, today: str) -> DataFrame:
-    """Events with gaps filled from their own pages (matched by URL); topics are united, tags follow the final texts."""
+def to_enrich(events: DataFrame, most: int = 200) -> DataFrame:
+    """source, url: the pages to fetch, of each source the `most` first by start, then URL; an address once however many rows have it."""
+    first = events.filter(F.length("url") > 0).groupBy("source", "url").agg(F.min(F.coalesce("start", F.lit("9999"))).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("_start", "url"))
+    return first.withColumn("_place", place).filter(F.col("_place") <= most).select("source", "url")
+
+
+def enrichment_counts(asked: DataFrame, found: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per source: pages attempted, enriched (with a field in it), failed (no page), and events that got an age. asked: `to_enrich`; found: `details`."""
+    lists = [c for c in found.columns if c != "url"]
+    state = found.select("url", F.lit(True).alias("_read"), (sum((F.size(c) for c in lists), F.lit(0)) > 0).alias("_some"))
+    pages = asked.join(state, "url", "left").groupBy("source").agg(F.count("*").alias("attempted"), F.count_if("_some").alias("enriched"), F.count_if(F.col("_read").isNull()).alias("failed"))
+    ageless = lambda e: F.col(f"{e}.age_min").isNull() & F.col(f"{e}.age_max").isNull()
+    gained = before.alias("b").join(after.alias("a"), F.col("a.id") == F.col("b.id")).groupBy(F.col("b.source").alias("source")).agg(F.count_if(ageless("b") & ~ageless("a")).alias("ages_added"))
+    return pages.join(gained, "source", "left").select("source", "attempted", "enriched", "failed", F.coalesce("ages_added", F.lit(0)).alias("ages_added"))
+
+
+def enrich(events: DataFrame, found: DataFrame, today: str, sources: list[dict] = ()) -> DataFrame:
+    """Events with gaps filled from their own pages (matched by URL); topics are united, tags follow the final texts and the registry's
+    career topics (`sources`)."""
     some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
     e = events.join(found, "url", "left")
     union = ages.audience_union(F.col("ages"))
@@ -236,7 +254,9 @@ def enrich(events: DataFrame, found: DataFrame, today: str) -> DataFrame:
         "time_text": F.when(add_time, F.array_join("times_found", ", ")).otherwise(F.col("time_text")),
         "start": F.when(midnight, clock.iso(wall)).otherwise(F.col("start")), "all_day": F.col("all_day") & ~F.coalesce(midnight, F.lit(False)),
     })
-    e = e.withColumns({"careers": careers(F.col("title"), F.col("summary")), "work_styles": work_styles(F.col("title"), F.col("summary"))})
+    known = {s["key"]: " ".join(s["career_topics"]) for s in sources if s.get("career_topics")}
+    own = F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("source")) if known else F.lit("")
+    e = e.withColumns({"careers": careers(F.col("title"), F.col("summary"), own), "work_styles": work_styles(F.col("title"), F.col("summary"))})
     return e.select(*events.columns)
 
 
@@ -248,6 +268,8 @@ EVENT_TYPES = frozenset((
     "businessevent", "childrensevent", "visualartsevent",
 ))
 DEEPEST = 30
+#: Fixed by schema.org: what an offer says.
+OFFER = ("price", "lowPrice", "priceCurrency", "url")
 
 
 def json_blocks(raw: str) -> Iterator[object]:
@@ -266,15 +288,18 @@ def json_blocks(raw: str) -> Iterator[object]:
             continue
 
 
-def event_objects(value: object, depth: int = 0) -> Iterator[dict]:
-    if depth > DEEPEST:
-        return
-    if isinstance(value, dict):
-        kinds = value.get("@type") or value.get("type") or []
-        if {str(k).lower() for k in ([kinds] if isinstance(kinds, str) else kinds if isinstance(kinds, list) else [])} & EVENT_TYPES:
-            yield value
-    for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-        yield from event_objects(v, depth + 1)
+def event_objects(value: object) -> Iterator[dict]:
+    """Objects of an event's type anywhere in a tree of DEEPEST levels at most, in document order."""
+    todo = [(value, 0)]
+    while todo:
+        node, depth = todo.pop()
+        if isinstance(node, dict):
+            kinds = node.get("@type") or node.get("type") or []
+            if not EVENT_TYPES.isdisjoint(str(k).lower() for k in (kinds if isinstance(kinds, list) else [kinds])):
+                yield node
+        inner = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+        if depth < DEEPEST:
+            todo += [(v, depth + 1) for v in reversed(list(inner))]
 
 
 def flat(value: object) -> str | None:
@@ -295,25 +320,17 @@ def labels(value: object) -> list[str]:
     return out
 
 
-def offer_facts(value: object) -> dict:
-    """Lowest price, first currency, first link, and a wording of them."""
-    amounts, money, links = [], [], []
-    for o in [value] if isinstance(value, dict) else value if isinstance(value, list) else []:
-        if isinstance(o, dict):
-            for key in ("price", "lowPrice"):
-                try:
-                    amounts.append(float(re.sub("[,£$€ ]", "", str(o[key]))))
-                    money += [str(c).upper() for c in (o.get("priceCurrency") or o.get("currency"),) if c]
-                except (KeyError, ValueError):
-                    continue
-            links += [str(o["url"])] if o.get("url") else []
-    out = {"booking_url": links[0] if links else None}
-    if amounts:
-        low, unit = min(amounts), money[0] if money else None
-        sign = {v: k for k, v in prices.CURRENCY.items()}.get(unit)
-        wording = "Free" if max(amounts) == 0 else f"from {sign}{low:g}" if sign else f"from {low:g} {unit or ''}".rstrip()
-        out |= {"price_text": wording, "stated_price": low, "stated_currency": unit}
-    return out
+def offered(value: object) -> str | None:
+    """The offers of an item as JSON of texts, which `prices.offers` reads."""
+    own = [o for o in (value if isinstance(value, list) else [value]) if isinstance(o, dict)]
+    return json.dumps([{k: str(v) for k, v in {**o, "priceCurrency": o.get("priceCurrency") or o.get("currency")}.items() if k in OFFER and v is not None} for o in own]) if own else None
+
+
+def with_offers(found: DataFrame) -> DataFrame:
+    """Prices and booking links of found items from the JSON of their offers."""
+    of = prices.offers(F.from_json("offers", f"array<struct<{', '.join(f'{k}: string' for k in OFFER)}>>"))
+    priced = found.withColumn("_of", F.when(F.col("offers").isNotNull(), of))
+    return priced.withColumns({"price_text": F.col("_of.price_text"), "stated_price": F.col("_of.price_from"), "stated_currency": F.col("_of.currency"), "booking_url": F.col("_of.booking_url")}).drop("_of")
 
 
 def jsonld_items(raw: str, cfg: dict, today: date) -> Iterator[dict]:
@@ -354,12 +371,12 @@ def jsonld_items(raw: str, cfg: dict, today: date) -> Iterator[dict]:
                 "lat": spot[0], "lon": spot[1], "online": "online" in str(o.get("eventAttendanceMode", "")).lower(),
                 "status": {"eventcancelled": "cancelled", "eventpostponed": "postponed", "eventrescheduled": "postponed"}.get(status, "scheduled"),
                 "age_text": flat(o.get("typicalAgeRange")) or ", ".join(said) or None, "age_labels": said,
-                "own_topics": [t for k in ("format", "series", "interpretations", "eventFormat") for t in labels(o.get(k))], **offer_facts(o.get("offers")),
+                "own_topics": [t for k in ("format", "series", "interpretations", "eventFormat") for t in labels(o.get(k))], "offers": offered(o.get("offers")),
             }
 
 
 def scan_jsonld(docs: DataFrame, sources: list[dict], now: str) -> DataFrame:
-    return typed(walked(docs, sources, now, jsonld_items), sources, union_ages=True)
+    return typed(with_offers(walked(docs, sources, now, jsonld_items)), sources, union_ages=True)
 
 
 # ---- JSON:API collections ----
@@ -557,9 +574,14 @@ def registry(spark: SparkSession, path: str) -> list[dict]:
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Events of the last snapshot; none if there is no file or it can't be read."""
-    try:
-        return spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(f"{path}/events")
-    except Exception:
+    """Events of the last snapshot; none if there is none. Lists that were dropped for being empty are empty again."""
+    if not exists(spark, f"{path}/events"):
         return spark.createDataFrame([], EVENT_SCHEMA)
+    events = spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(f"{path}/events")
+    return events.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in LIST_COLUMNS})
+
 
+def published(spark: SparkSession, path: str, page: str | None = None) -> DataFrame:
+    """What the query layer loads of a snapshot: rows with an id and a title, of one page if it is named."""
+    events = snapshot(spark, path).filter((F.trim("id") != "") & (F.trim("title") != ""))
+    return filters.page(events, page) if page else events

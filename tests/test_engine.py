@@ -29,10 +29,13 @@ def duck():
     return con
 
 
+DIGITS = 9  # significant ones of a number that must agree
+
+
 def plain(v):
-    if v is None or v != v:
-        return ""
-    return f"{float(v):.9g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    if v is None:
+        return "\0null"
+    return f"{float(v):.{DIGITS}g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
@@ -105,6 +108,106 @@ def test_selectors():
     assert pick(t, [".none", "p"]) == "1" and pick(t, "p[data-x]", "data-x") == "one two" and tree("").select("p") == []
 
 
+def test_replacing_a_snapshot(spark, tmp_path):
+    """A move that fails leaves what was there."""
+    from eventmill.plans import storage
+
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "x").write_text("1")
+    with pytest.raises(Exception):  # noqa: B017
+        storage.replace(spark, str(tmp_path / "missing"), str(tmp_path / "old"))
+    assert (tmp_path / "old" / "x").read_text() == "1"
+
+
+def test_published_rows(spark, tmp_path):
+    e = rows(spark, {}, {"id": " "}, {"title": ""}, {"id": "b", "ongoing": True, "exhibition": True})
+    sinks.write_events(e, str(tmp_path / "snap" / "events"))
+    assert sorted(r.id for r in scans.published(spark, str(tmp_path / "snap")).collect()) == ["a-1", "b"]
+    assert scans.published(spark, str(tmp_path / "snap")).first().topics == []
+
+
+DATES = [  # ranges and single dates beyond the golden ones; today is 2026-06-01
+    ("3rd of May 2026", "2026-05-03", None), ("May 3, 2026", "2026-05-03", None), ("3 - 5 May 2026", "2026-05-03", "2026-05-05"), ("3-5 May 2026", "2026-05-03", "2026-05-05"), ("3 May to 5 June 2026", "2026-05-03", "2026-06-05"),
+    ("28 Dec 2026 – 3 Jan 2027", "2026-12-28", "2027-01-03"), ("28 Dec – 3 Jan 2027", "2026-12-28", "2027-01-03"), ("1/2/2026", "2026-02-01", None), ("1/13/2026", "2026-01-13", None), ("01-02-2026", "2026-02-01", None),
+    ("1.2.2026", "2026-02-01", None), ("until 5 July 2026", "2026-06-01", "2026-07-05"), ("Ends 5 July 2026", "2026-06-01", "2026-07-05"), ("throughout 2026", None, None), ("till 1/8/2026", "2026-06-01", "2026-08-01"),
+    ("2026-05-01 to 2026-04-01", "2026-05-01", None), ("2026-05-01 — 2026-05-02", "2026-05-01", "2026-05-02"), ("31 February 2026", None, None), ("Sat 6 June", "2026-06-06", None), ("6 June 2026 - late", "2026-06-06", None),
+    ("5 October 2026 – 1 October 2026", "2026-10-05", None), ("10 to 12 August 2026", "2026-08-10", "2026-08-12"), ("9 Nov 2026 7pm to 9pm", "2026-11-09", None), ("1 May / 2 May", None, None), ("   ", None, None),
+    ("17/01/2026 – 20/01/2026", "2026-01-17", "2026-01-20"), ("Sept 4 - Sept 6, 2026", "2026-09-04", "2026-09-06"), ("12th–14th March 2027", "2027-03-12", "2027-03-14"), ("every day", None, None), ("2 – 3", None, None),
+]
+
+
+def test_more_dates():
+    from datetime import date
+
+    from eventmill.functions import prose
+
+    for given, start, end in DATES:
+        got = tuple(x and x[:10] for x in prose.read_range(given, date(2026, 6, 1)))
+        assert got == (start, end), given
+    assert prose.read_date("29 March 2026 01:30", date(2026, 1, 1)) == "2026-03-29T02:30:00+01:00"
+    assert prose.read_range("29 February 2024", date(2024, 7, 1), None, True)[0][:10] == "2024-02-29"
+
+
+TIMES = [
+    ("from 9am", 540, None), ("9am to noon", 540, None), ("9-11am", 540, 660), ("21:15", 1275, None), ("12pm-1pm", 720, 780), ("12.30 - 2pm", 750, 840), ("25:00", None, None), ("Doors open 18:30, film 19:00", 1140, None), ("at 7; then 8pm-9pm", 1200, 1260),
+    ("5th May, 6pm", 1080, None), ("May 5 6.15pm", 1095, None), ("10am • 3pm", 600, None), ("11pm - 1am", 1380, 60), ("registration 9.30am, start 10am", 600, None), ("1.5.2026 at 14:00", 840, None),
+]
+
+
+def test_more_times():
+    from eventmill.functions import prose
+
+    for given, start, end in TIMES:
+        assert prose.read_times(given) == (start, end), given
+
+
+MORE_AGES = [
+    ("Aged 5 to 7", 5, 7), ("years 7-9", 7, 9), ("18 plus", 18, None), ("16 and over", 16, None), ("21 or over", 21, None), ("10 or younger", None, 10), ("below 12", None, 11), ("under-14s", None, None), ("30-40 year olds", None, None),
+    ("under 18s not permitted; ages 18-24", 18, 24), ("10 – 12 Oct", None, None), ("8+ and under 12", 8, None), ("For 11–14 yr olds", 11, 14), ("must be over 18", None, None), ("16-14", None, None),
+]
+MORE_PRICES = [
+    ("free", True, 0.0), ("It is free.", True, 0.0), ("Non-free", None, None), ("no free places", None, None), ("Students go free", None, None), ("under 5s are free", None, None), ("under-16s free", None, None), ("free on Fridays", None, None),
+    ("freedom", None, None), ("£ 5", False, 5.0), ("£5.5", False, 5.0), ("from €1,250.50", False, 1250.5), ("Free, £0", True, 0.0), ("$3 or $2", False, 2.0), ("concessions free, others pay", None, None),
+]
+
+
+def test_more_ages_and_prices(spark):
+    from eventmill.functions import ages, prices
+
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(MORE_AGES)], "i int, t string").select("i", ages.age_range(F.col("t")).alias("r")).collect()
+    for r in got:
+        assert (r.r.low, r.r.high) == MORE_AGES[r.i][1:], MORE_AGES[r.i]
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(MORE_PRICES)], "i int, t string").select("i", prices.price_info(F.col("t")).alias("r")).collect()
+    for r in got:
+        assert (r.r.is_free, r.r.price_from) == MORE_PRICES[r.i][1:], MORE_PRICES[r.i]
+
+
+def test_source_checks(spark):
+    sources = spark.createDataFrame([(k, "n", "html", "h", "v", "d", "t", day, k != "c", k == "b") for k, day in (("a", "2026-05-01"), ("b", "2025-01-01"), ("c", "2026-05-01"), ("d", "2026-05-01"))], ", ".join(f"{c} string" for c in verify.REQUIRED) + ", expect_events boolean, allow_blocked boolean")
+    pages = spark.createDataFrame([("a", 200), ("b", 403), ("c", 200), ("d", 500)], "source string, http_status int")
+    checks = verify.source_checks(sources, spark.createDataFrame([("a",), ("a",)], "source string"), pages, F.lit("2026-06-01").cast("date"))
+    assert {r.source: r.verdict for r in verify.verdict(checks).collect()} == {"a": "PASS", "b": "PASS*", "c": "PASS", "d": "FAIL"}
+    assert json.loads(verify.report_json(checks))["ok"] is False
+
+
+def test_replies_reach_the_published_rows(spark, tmp_path):
+    from eventmill.plans import classify
+
+    snap, cache = str(tmp_path / "snap"), str(tmp_path / "cache")
+    sinks.write_snapshot(rows(spark, {}, {"id": "b-1", "title": "Other"}), spark.createDataFrame([("a", "ok")], "key string, status string"), snap, {})
+    args = ["--snapshot", snap, "--cache", cache, "--model", "m"]
+    stop, spark.stop = spark.stop, lambda: None
+    try:
+        classify.main([*args, "--ask", str(tmp_path / "ask")])
+        asked = {r.title: r.key for r in spark.read.json(str(tmp_path / "ask")).collect()}
+        (tmp_path / "replies.json").write_text(json.dumps({"key": asked["Other"], "reply": '["Law & justice"]'}))
+        classify.main([*args, "--replies", str(tmp_path / "replies.json"), "--ask", str(tmp_path / "ask")])
+    finally:
+        spark.stop = stop
+    assert {r.id: r.careers for r in scans.snapshot(spark, snap).collect()} == {"a-1": [], "b-1": ["Law & justice"]}
+    assert [r.title for r in spark.read.json(str(tmp_path / "ask")).collect()] == ["The Talk"]
+
+
 def test_scan_all_and_unknown_kind(spark):
     docs = spark.createDataFrame([("hall", 1, LISTING), ("talks", 1, FEED), ("other", 1, "x")], "source string, page int, raw string")
     assert scans.scan_all(docs, HTML + ICS, NOW).count() == 5 and scans.scan_all(docs, HTML + ICS, NOW, {"talks"}).count() == 3
