@@ -118,6 +118,9 @@ def test_packing(docs, documents, odd):
     for own in per_bucket.values():  # all but the last batch are full
         assert sorted(own) == list(range(len(own))) and len({own[b] for b in range(len(own) - 1)}) <= 1
     assert packing.pack(odd).count() == 7
+    assert all(r.bucket_len in want.values() for r in rows)
+    cells = packing.pack(docs, budget=400, buckets=4, exact=3).collect()
+    assert len(cells) == len(rows) and all(r.n_tokens <= r.bucket_len and r.bucket_len in want.values() for r in cells)
 
 
 def test_best_bounds():
