@@ -137,13 +137,15 @@ def slices(texts: pa.Array):
 
 
 def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, max_train: int = MAX_TRAIN) -> Model:
-    """Fitted on the rows of `docs` with a label, the `max_train` with the smallest hashes of id and text's length at most."""
+    """Fitted on the rows of `docs` with a label: all, or about `max_train` of them by the hash of their id."""
     h = F.xxhash64(F.col(id_col))
     rows = docs.filter(F.col(label_col).isNotNull())
-    top = rows.select(h.alias("h")).orderBy("h").limit(max_train).agg(F.max("h").alias("h")).first()["h"]
-    if top is None:
+    n = rows.count()
+    if n == 0:
         return Model([], np.zeros((0, 1 << BITS)), np.zeros((0, SCRIPTS)))
-    rows = rows.filter(h <= top).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("string").alias("l"))
+    if n > max_train:  # by a bound on hashes: nothing is sorted or brought together
+        rows = rows.filter(h < F.lit(-(2**63) + 2**64 * max_train // n))
+    rows = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("string").alias("l"))
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
