@@ -13,6 +13,7 @@ So rows per task stay few, the JVM never sees an entry, and memory is bounded by
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -54,6 +55,27 @@ def persist(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the checkpoint of a table from `persist` that nothing reads again, so that the shared folder holds a round or two, not all."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trimmed(f):
+    """The function of a group, after which the worker gives freed memory back: workers live on, several beside an executor."""
+
+    def give_back(out: pa.Table) -> pa.Table:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+        return out
+
+    # Spark counts the arguments
+    return (lambda t: give_back(f(t))) if f.__code__.co_argcount == 1 else (lambda left, right: give_back(f(left, right)))
+
+
 #: Ids above are made up for rows without one (`with_bucket`).
 LAST_ID = 2**63 - 1 - 2**40
 #: Leaves of a plan that don't know their size say about 2**63.

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, persist
+from .common import dealt_anew, forget, persist
 
 #: Links that a task holds at a time: 16 bytes each, some 100 MB with all that is made of them.
 LOCAL = 1 << 20
@@ -80,6 +80,7 @@ def components(links: DataFrame, a: str, b: str, local: int = LOCAL) -> DataFram
         if state == before:
             break
         before = state
-        edges = persist(forests(starred(edges), local))
+        edges, used = persist(forests(starred(edges), local)), edges
+        forget(used)
     root = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return root.union(root.select("component").distinct().select(F.col("component").alias("node"), "component"))

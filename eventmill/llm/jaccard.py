@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, MIX1, bucketed, chunks, dealt_anew, in_order, loose, mix, owner, pack, partitions_for, persist, scatter, unpack, utf8, with_bucket, word_hashes
+from .common import LAST_ID, MIX1, bucketed, chunks, dealt_anew, forget, in_order, loose, mix, owner, pack, partitions_for, persist, scatter, trimmed, unpack, utf8, with_bucket, word_hashes
 from .components import components
 
 WIDTH, NUM, DEN = 5, 80, 100
@@ -202,13 +202,14 @@ def similar_links(docs: DataFrame, members: DataFrame, partitions: int, width: i
     def asked(some: DataFrame, part) -> DataFrame:
         """Of the buckets of documents in `some` (_id, _b): those, and the owners' answers on their tokens."""
         ids = some.select("_b", "_id", null("int").alias("_p"), null("binary").alias("_x")).repartition(partitions, "_b")
-        blobs = text.groupBy("_b").cogroup(ids.groupBy("_b")).applyInArrow(sent(part), "_p int, _from int, _x binary")
-        level = blobs.repartition(partitions, "_p").groupBy("_p").applyInArrow(levels, "_b int, _p int, _x binary")
+        blobs = text.groupBy("_b").cogroup(ids.groupBy("_b")).applyInArrow(trimmed(sent(part)), "_p int, _from int, _x binary")
+        level = blobs.repartition(partitions, "_p").groupBy("_p").applyInArrow(trimmed(levels), "_b int, _p int, _x binary")
         return level.select("_b", null("long").alias("_id"), "_p", "_x").union(some.select("_b", "_id", null("int"), null("binary"))).repartition(partitions, "_b")
 
-    left = persist(text.groupBy("_b").cogroup(asked(reps, front).groupBy("_b")).applyInArrow(stay, "_id long, _b int").repartition(partitions, "_b"))
-    found = persist(text.groupBy("_b").cogroup(asked(left, lambda sets: sets).groupBy("_b")).applyInArrow(indexed, "_id long, _n long, _rank double, _pre array<struct<tok: long, pos: int>>, _common binary"))
+    left = persist(text.groupBy("_b").cogroup(asked(reps, front).groupBy("_b")).applyInArrow(trimmed(stay), "_id long, _b int").repartition(partitions, "_b"))
+    found = persist(text.groupBy("_b").cogroup(asked(left, lambda sets: sets).groupBy("_b")).applyInArrow(trimmed(indexed), "_id long, _n long, _rank double, _pre array<struct<tok: long, pos: int>>, _common binary"))
 
+    forget(reps), forget(left)
     entries = found.select("_id", "_n", "_rank", F.inline("_pre").alias("_tok", "_pos"))
     leaders = entries.groupBy("_tok").agg(F.min(F.struct("_rank", "_id", "_n", "_pos")).alias("l"), F.count("*").alias("_m")).filter("_m > 1").select("_tok", F.col("l._id").alias("_lead"), F.col("l._n").alias("_ln"), F.col("l._pos").alias("_lpos"))
 
@@ -265,7 +266,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, group: int)
                         break
         return pa.table({"_a": pa.array([a] * len(hits), pa.int64()), "_z": pa.array(hits, pa.int64())})
 
-    return others.union(leads).groupBy("_a", "_part").applyInArrow(check, "_a long, _z long")
+    return others.union(leads).groupBy("_a", "_part").applyInArrow(trimmed(check), "_a long, _z long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX2, _RANDOM, RangeHash, bucketed, chunks, in_order, loose, mix, owner, pack, partitions_for, scatter, unpack, utf8, virtual_starts
+from .common import MIX2, _RANDOM, RangeHash, bucketed, chunks, in_order, loose, mix, owner, pack, partitions_for, scatter, trimmed, unpack, utf8, virtual_starts
 from .suffixes import equal_prefix_groups, ranges
 
 LEAST, K = 100, 32
@@ -317,10 +317,10 @@ def repeated_ranges(docs: DataFrame, partitions: int, least: int, k: int, hot: i
                 buckets.append(b), out.append(pack(own, first, last))
         return pa.table({"_b": pa.array(buckets, pa.int32()), "_x": pa.array(out, pa.binary())})
 
-    blobs = docs.groupBy("_b").applyInArrow(entries, "_p int, _from int, _x binary, _y binary")
-    classes = blobs.repartition(partitions, "_p").groupBy("_p").applyInArrow(answer, "_b int, _p int, _x binary, _y binary").repartition(partitions, "_b")
-    opened = docs.groupBy("_b").cogroup(classes.groupBy("_b")).applyInArrow(open_up, "_p int, _kind int, _x binary")
-    return opened.repartition(partitions, "_p").groupBy("_p").applyInArrow(expand, "_b int, _x binary").repartition(partitions, "_b")
+    blobs = docs.groupBy("_b").applyInArrow(trimmed(entries), "_p int, _from int, _x binary, _y binary")
+    classes = blobs.repartition(partitions, "_p").groupBy("_p").applyInArrow(trimmed(answer), "_b int, _p int, _x binary, _y binary").repartition(partitions, "_b")
+    opened = docs.groupBy("_b").cogroup(classes.groupBy("_b")).applyInArrow(trimmed(open_up), "_p int, _kind int, _x binary")
+    return opened.repartition(partitions, "_p").groupBy("_p").applyInArrow(trimmed(expand), "_b int, _x binary").repartition(partitions, "_b")
 
 
 RESULTS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "spans": "array<struct<start: long, end: long>>", "kept": "binary", "kept_text": "string"}
@@ -364,7 +364,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"_row": loose(t.column("_row")), **{c: made[c] for c in results}})
 
     schema = ", ".join(["_row " + dealt.schema["_row"].dataType.simpleString(), *(f"{c} {RESULTS[c]}" for c in results)])
-    out = dealt.groupBy("_b").cogroup(spans.groupBy("_b")).applyInArrow(cut, schema)
+    out = dealt.groupBy("_b").cogroup(spans.groupBy("_b")).applyInArrow(trimmed(cut), schema)
     return out.select(*[F.col("_row")[c].alias(c) for c in names], *results)
 
 

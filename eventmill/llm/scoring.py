@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, in_order, loose, owner, pack, partitions_for, persist, scatter, unpack, utf8, word_hashes
+from .common import bucketed, chunks, forget, in_order, loose, owner, pack, partitions_for, persist, scatter, trimmed, unpack, utf8, word_hashes
 
 HEADS, CLASSES, ROUNDS, SWEEPS = 768, 24, 6, 5
 #: Buckets for each partition: a round sends a blob from each bucket to each owner.
 PER_PARTITION = 2
+#: Partitions for each owner of words in the rounds: fewer and larger blobs.
+PER_OWNER = 2
 #: Distinct words that a task counts before it sends the counts on.
 HELD = 1 << 20
 #: The end of a text, as a token.
@@ -177,11 +179,15 @@ def neighbours(entry: np.ndarray, kind: np.ndarray, use: np.ndarray, size: int,
     """For each of `size` entries, how many classes stand beside it; these (before, then classes + after), ascending; how often. Tokens without a
     class (kind >= classes) say nothing. `use` holds for no end; the token before the first is an end, as the last is."""
     at = np.flatnonzero(use)
-    found = []
-    for side, k in ((0, kind[at - 1]), (classes, kind[np.minimum(at + 1, len(kind) - 1)])):
+    width = np.int32 if size * 2 * classes < 1 << 31 else np.int64  # half the memory, and faster to sort
+    key, n = np.zeros(0, width), np.zeros(0, np.int64)
+    for side, step in ((0, -1), (classes, 1)):  # one side at a time: a sort of all tokens is the most that is held
+        k = kind[np.minimum(at + step, len(kind) - 1)]
         known = k < classes
-        found.append(entry[at[known]].astype(np.int64) * (2 * classes) + side + k[known])
-    key, n = counted(np.concatenate(found))
+        found, m = counted(entry[at[known]].astype(width) * width(2 * classes) + (k[known] + side).astype(width))
+        key, n = np.concatenate((key, found)), np.concatenate((n, m))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
     return np.bincount(key // (2 * classes), minlength=size), (key % (2 * classes)).astype(np.uint8), n
 
 
@@ -199,8 +205,9 @@ def likeliest(beside: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffles of earlier rounds."""
+    """Let Spark's cleaner drop shuffles of earlier rounds. The scheduler holds on to the last job until another one has run."""
     gc.collect()
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 
@@ -222,6 +229,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     flagged = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     dealt = bucketed(flagged, id_col, "_text", partitions, PER_PARTITION)
     common = len(words)
+    owners = max(1, partitions // PER_OWNER)
 
     def read(t: pa.Table):
         t = in_order(t)
@@ -240,7 +248,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def dealt_words(h: np.ndarray):
         """Distinct words by owner, each token's place among them, the owners, and the bounds of their parts."""
         word, back = np.unique(h, return_inverse=True)
-        order, where, cut = scatter(owner(word, partitions))
+        order, where, cut = scatter(owner(word, owners))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return word[order], place[back], where, cut
@@ -348,19 +356,23 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     spark, schema = docs.sparkSession, "_p int, _b int, _x binary"
     kind_of_row = dealt.schema["_row"].dataType.simpleString()
-    blobs = dealt.groupBy("_b").applyInArrow(entries, schema).repartition(partitions, "_p")
-    answers = persist(blobs.groupBy("_p").applyInArrow(first_answer, "_b int, _p int, _x binary"))
+    blobs = dealt.groupBy("_b").applyInArrow(trimmed(entries), schema).repartition(partitions, "_p")
+    answers = persist(blobs.groupBy("_p").applyInArrow(trimmed(first_answer), "_b int, _p int, _x binary"))
     released(spark)
     tokens_in_all, words_in_all = summed(answers.filter("_b = -1").select("_x"), 2).tolist()
-    made = persist(dealt.groupBy("_b").cogroup(answers.filter("_b >= 0").repartition(partitions, "_b").groupBy("_b")).applyInArrow(settle, f"{schema}, _rows array<{kind_of_row}>"))
+    made = persist(dealt.groupBy("_b").cogroup(answers.filter("_b >= 0").repartition(partitions, "_b").groupBy("_b")).applyInArrow(trimmed(settle), f"{schema}, _rows array<{kind_of_row}>"))
     released(spark)
-    state = made.filter("_p = -1")
+    forget(answers)
+    first_made, state = made, made.filter("_p = -1")
     for sweep in range(2, max(2, sweeps) + 1):
         g = summed(made.filter("_p = -2").select("_x"), classes * classes).reshape(classes, classes)
-        answers = persist(made.filter("_p >= 0").select("_p", "_b", "_x").repartition(partitions, "_p").groupBy("_p").applyInArrow(next_answer(g), "_b int, _p int, _x binary"))
+        answers = persist(made.filter("_p >= 0").select("_p", "_b", "_x").repartition(partitions, "_p").groupBy("_p").applyInArrow(trimmed(next_answer(g)), "_b int, _p int, _x binary"))
+        if made is not first_made:
+            forget(made)
         back = answers.filter("_b >= 0").repartition(partitions, "_b").groupBy("_b")
         if sweep < sweeps:
-            made = persist(state.select("_b", "_x").repartition(partitions, "_b").groupBy("_b").cogroup(back).applyInArrow(again, schema))
+            made = persist(state.select("_b", "_x").repartition(partitions, "_b").groupBy("_b").cogroup(back).applyInArrow(trimmed(again), schema))
+            forget(answers)
         released(spark)
     distinct = summed(answers.filter("_b = -1").select("_x"), classes)
     distinct[0] = min(1, tokens_in_all)  # the end
@@ -394,7 +406,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         })
 
     fields = f"_row {kind_of_row}, n_tokens long, n_known long, _sum double, _known double, _moves binary"
-    texts = persist(state.select("_b", "_x", "_rows").repartition(partitions, "_b").groupBy("_b").cogroup(back).applyInArrow(reduce, fields))
+    texts = persist(state.select("_b", "_x", "_rows").repartition(partitions, "_b").groupBy("_b").cogroup(back).applyInArrow(trimmed(reduce), fields))
+    forget(first_made), forget(answers)
     released(spark)
 
     def transitions(batches):
