@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .derive import city_key, running_now
-from .orders import order
 
 
 def facet_city(events: DataFrame) -> DataFrame:
