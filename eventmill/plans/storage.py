@@ -12,7 +12,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="eventmill_")
 

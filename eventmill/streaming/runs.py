@@ -1,7 +1,7 @@
 """Incremental runs on Structured Streaming: raw documents arrive as files, each micro-batch is one collection run.
 
-Batch semantics stay as they are: a micro-batch is scanned, reconciled with the last snapshot and published, with the
-snapshot as the state between runs.  A run is named by its batch id, so a batch that is repeated after a failure publishes the same version again.
+A micro-batch is scanned and its rows written as a version, named by its batch id, so a batch that is repeated after a failure writes the
+same version again.  Reconciling versions with the last snapshot is a batch run's work (`plans.build`).
 """
 
 from __future__ import annotations
