@@ -2,12 +2,13 @@
 
 A text is halved recursively down to leaves, each leaf is encoded by itself, and neighbours are joined up the tree.
 A join keeps the left tokens up to a cut inside the left half and the right tokens from a cut inside the right half,
-and encodes the window between the cuts again.  The cuts are places where the tokens outside provably can't change: between a letter
-and white space.  The pattern never matches across such a place (a match that holds the letter ends there, as no
-alternative takes white space after a letter), a match is found from where the last one ended and from nothing
-before, and on the left of the cut it looks at most at the white space itself.  So the tokens of the whole are those
-before, of the window and after.  The window starts at WINDOW characters on each side and grows until both cuts are found or
-the half ends.  Joining is associative, so a text may be cut anywhere.
+and encodes the window between the cuts again.  The cuts are places where the tokens outside provably can't change.  A match of the
+pattern is a run of letters, of numbers or of marks, perhaps after one space, or of white space, or an apostrophe with letters.  So a match
+ends wherever a letter, number or mark meets a character of another kind, but for an apostrophe before a letter; a match is found from where
+the last one ended and from nothing before; and only white space looks ahead, and none stands before such a place.  So the tokens of
+the whole are those before, of the window and after.  Only characters whose kind is the same in all versions of Unicode make a cut, as
+the library has tables of its own.  The window starts at WINDOW characters on each side and grows until both cuts are found or
+the half ends: text without such a place, like one run of letters, is encoded whole.  Joining is associative, so a text may be cut anywhere.
 
 Decoding concatenates the bytes of the ids up the same kind of tree.
 
@@ -28,9 +29,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF, WINDOW, DECODE_LEAF = 2048, 24, 512
+LEAF, WINDOW, DECODE_LEAF = 512, 24, 512
+#: Characters by kind, as far as they make cuts: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul; ASCII and wide marks.
+LETTERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0391-\u03A1\u0410-\u044F\u05D0-\u05EA\u0621-\u063A\u0905-\u0939\u0E01-\u0E30\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3"
+NUMBERS, SPACES = "0-9", r" \t\n\r\u3000"
+MARKS = r"!-&(-/:-@\[-`{-~\u3001-\u3003\u3008-\u3011\uFF01-\uFF06\uFF08-\uFF0F\uFF1A-\uFF1F"
 #: The last such place in the left half, and the first in the right, are the cuts.
-CUT = regex.compile(r"(?<=\p{L})(?=\s)")
+CUT = regex.compile(
+    rf"(?<=[{LETTERS}])(?=[{NUMBERS}{MARKS}'{SPACES}])|(?<=[{NUMBERS}])(?=[{LETTERS}{MARKS}'{SPACES}])"
+    rf"|(?<=[{MARKS}'])(?=[{NUMBERS}{SPACES}])|(?<=[{MARKS}])(?=[{LETTERS}])|(?<=\p{{L}})(?=\s)"
+)
 
 
 class Codec:

@@ -31,6 +31,41 @@ def test_tree_encodes_as_the_library(text):
     assert c.decode(ids) == text.encode()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=90) | st.text(alphabet=st.sampled_from("aé字。，、かЖא1２0'\x1c\u3000\u0300\u00a0 \n!-_ｒ＇s"), max_size=120))
+def test_any_cut_is_safe(text):
+    c = bpe.Codec.__dict__.get("_test") or bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN, leaf=8, window=2)
+    bpe.Codec._test = c
+    whole = c.base.encode_ordinary(text)
+    for cut in bpe.CUT.finditer(text):
+        assert c.base.encode_ordinary(text[: cut.start()]) + c.base.encode_ordinary(text[cut.start() :]) == whole
+    assert c.encode(text) == whole
+
+
+@pytest.mark.parametrize("kind", ["han", "csv", "prose", "digits and marks"])
+def test_long_texts_are_not_encoded_over_and_over(kind):
+    rng = random.Random(kind)
+    make = {
+        "han": lambda: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(rng.randint(3, 25))) + rng.choice("，。、"),
+        "csv": lambda: f"{rng.random():.6f},{rng.randint(0, 999)};",
+        "prose": lambda: rng.choice(["the ", "cat's ", "naïve, ", "2024\n"]),
+        "digits and marks": lambda: f"{rng.randint(0, 10**9)}+({rng.randint(0, 99)})",
+    }[kind]
+    text = "".join(make() for _ in range(20_000))
+    c = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    seen, library = 0, c.base
+
+    class Counting:
+        def encode_ordinary(self, part):
+            nonlocal seen
+            seen += len(part)
+            return library.encode_ordinary(part)
+
+    c.base = Counting()
+    assert c.encode(text) == library.encode_ordinary(text)
+    assert seen <= 1.5 * len(text)
+
+
 def test_round_trip(spark, docs, documents, codec):
     got = {r.doc_id: r for r in bpe.round_trip(docs, PATH, public_tokenizers.PATTERN).collect()}
     for d, t in documents:
