@@ -1,9 +1,9 @@
 """Language identification of mixed-language text.
 
-Words are scored against the languages that a training set holds.  The script of a word (by ranges of its letters)
-leaves the languages written in it; these score by hashed byte trigrams, word edges included (smoothed log
+Words are scored against the languages that a training set holds.  The script of a word (by ranges of code points; the last
+in order where it has several) leaves the languages written in it; these score by hashed byte trigrams, word edges included (smoothed log
 probabilities).  Viterbi over the words with a switching penalty gives the likeliest labelling, whose runs are the spans.
-A text's language is the one that most of its letters' bytes are labelled with, its score that share.
+A text's language is the one that most of its letters are labelled with, its score that share.
 
 The classifier is fitted on at most `max_train` labelled rows (those with the smallest hashes of id); all else is per text.
 The model is a table of 2**BITS rows by languages and is sent to the tasks: its size depends on the number of languages alone.
@@ -14,6 +14,8 @@ language first in order; texts are scored whole, however long; only the id, text
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,12 +31,69 @@ TAKE = 4 << 20
 NO_LETTER = "und"
 LETTER = regex.compile(r"\p{L}")
 
-#: Fixed by Unicode and UTF-8: scripts by the lead byte of their letters.
-SCRIPT = np.zeros(256, np.uint8)
-for _first, _last, _script in ((65, 90, 1), (97, 122, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD5, 4), (0xD6, 0xD7, 5), (0xD8, 0xDD, 6), (0xE0, 0xE0, 7), (0xE1, 0xE1, 8), (0xE3, 0xE3, 9), (0xE4, 0xE9, 10), (0xEA, 0xED, 11)):
-    SCRIPT[_first : _last + 1] = _script
-SCRIPTS = 12
-LETTERS = (SCRIPT > 0) | (np.arange(256) >= 0xC0)
+#: Fixed by Unicode: the scripts that are told apart, as the code points of their blocks (what isn't a letter or mark in them is left out).
+RANGES = {
+    "none": ((0x0300, 0x036F), (0x20D0, 0x20FF), (0xFE00, 0xFE0F)),  # marks on letters of any script
+    "Latin": ((0x0041, 0x007A), (0x00AA, 0x02FF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    "Greek": ((0x0370, 0x03FF), (0x1F00, 0x1FFF)),
+    "Cyrillic": ((0x0400, 0x052F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "Armenian": ((0x0530, 0x058F), (0xFB13, 0xFB17)),
+    "Hebrew": ((0x0590, 0x05FF), (0xFB1D, 0xFB4F)),
+    "Arabic": ((0x0600, 0x06FF), (0x0750, 0x077F), (0x0870, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    "Syriac": ((0x0700, 0x074F),),
+    "Thaana": ((0x0780, 0x07BF),),
+    "Devanagari": ((0x0900, 0x097F), (0xA8E0, 0xA8FF)),
+    "Bengali": ((0x0980, 0x09FF),),
+    "Gurmukhi": ((0x0A00, 0x0A7F),),
+    "Gujarati": ((0x0A80, 0x0AFF),),
+    "Odia": ((0x0B00, 0x0B7F),),
+    "Tamil": ((0x0B80, 0x0BFF),),
+    "Telugu": ((0x0C00, 0x0C7F),),
+    "Kannada": ((0x0C80, 0x0CFF),),
+    "Malayalam": ((0x0D00, 0x0D7F),),
+    "Sinhala": ((0x0D80, 0x0DFF),),
+    "Thai": ((0x0E00, 0x0E7F),),
+    "Lao": ((0x0E80, 0x0EFF),),
+    "Tibetan": ((0x0F00, 0x0FFF),),
+    "Myanmar": ((0x1000, 0x109F),),
+    "Georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "Ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF)),
+    "Cherokee": ((0x13A0, 0x13FF), (0xAB70, 0xABBF)),
+    "Khmer": ((0x1780, 0x17FF),),
+    "Mongolian": ((0x1800, 0x18AF),),
+    "Han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+    "Bopomofo": ((0x3100, 0x312F),),
+    "Kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)),
+    "Hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+}
+#: Letters of all other scripts are one; there are no letters above the last code point.
+OTHER, LAST_LETTER = len(RANGES), 0x323AF
+SCRIPTS = OTHER + 1
+
+
+def script_table() -> np.ndarray:
+    """The script of each code point: 0 for what is no letter and no mark of one."""
+    out = np.array([OTHER if unicodedata.category(chr(c))[0] in "LM" else 0 for c in range(LAST_LETTER + 2)], np.uint8)
+    letter = out > 0
+    for i, ranges in enumerate(RANGES.values()):
+        for first, last in ranges:
+            out[first : last + 1] = np.where(letter[first : last + 1], i, 0)
+    return out
+
+
+SCRIPT = script_table()
+
+
+def scripts_of(buf: np.ndarray) -> np.ndarray:
+    """The script of each character of UTF-8 text at its first byte, 0 at its other bytes."""
+    out = np.where(buf < 0x80, SCRIPT[buf], 0).astype(np.uint8)
+    for least, most, mask, more in ((0xC0, 0xDF, 0x1F, 1), (0xE0, 0xEF, 0x0F, 2), (0xF0, 0xF7, 0x07, 3)):
+        at = np.flatnonzero((buf >= least) & (buf <= most))
+        point = (buf[at] & mask).astype(np.int64)
+        for i in range(1, more + 1):
+            point = point << 6 | (buf[at + i] & 0x3F)
+        out[at] = SCRIPT[np.minimum(point, LAST_LETTER + 1)]
+    return out
 
 
 class Words:
@@ -56,17 +115,17 @@ class Words:
         b = buf.astype(np.uint32)
         h = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(2654435761)
         self.slot = np.concatenate(([0], h >> np.uint32(32 - BITS), [0])).astype(np.int32)  # of the trigram around each byte
-        self.word, self.buf = word, buf
+        self.word, self.script = word, scripts_of(buf)
 
     def reduce(self, values: np.ndarray, how=np.add) -> np.ndarray:
         """Values of bytes, zero outside words, as one value for each word."""
         return how.reduceat(values, self.start, axis=0) if len(self.start) else values[:0]
 
     def scripts(self) -> np.ndarray:
-        return self.reduce(np.where(self.word, SCRIPT[self.buf], 0), np.maximum)
+        return self.reduce(self.script, np.maximum)
 
     def letters(self) -> np.ndarray:
-        return self.reduce((self.word & LETTERS[self.buf]).astype(np.int64))
+        return self.reduce((self.script > 0).astype(np.int64))
 
 
 class Model:
