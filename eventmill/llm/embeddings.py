@@ -7,7 +7,7 @@ their range touches, where blocks are compared by distance; the union over the b
 original vectors in double precision.  A pair found in several blocks counts in the first.
 
 Equal vectors of a label are one class, so copies cost nothing.  A tile (label, block, cell) with more than TILE vectors
-is dealt to several tasks, each with its part of one side.  Tiles give sums and links between representatives,
+is dealt to several tasks, each with its parts of both sides (some TILE vectors of each).  Tiles give sums and links between representatives,
 not pairs: a dense group of m vectors costs m rows, not m squared.
 
 Cases: vectors that are null, empty, zero or hold null, NaN or infinite components, or whose label is null, link with
@@ -63,10 +63,10 @@ def cells_of(x: np.ndarray, radius: float) -> list[tuple[np.ndarray, np.ndarray,
     return out
 
 
-def linked(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, left: np.ndarray, block: int, min_cos: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, min_cos: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """In one tile: for each vector the weight of those it links with, and links enough to connect what is connected.
 
-    A pair is taken here if one of `left` has the smaller id and `block` is the first block in which the two are close."""
+    A pair is taken here if one of `left` has a smaller id than one of `right` and `block` is the first block in which the two are close."""
     dim = x.shape[1]
     bounds = block_bounds(dim, blocks)
     limit = (2 - 2 * min_cos) / (len(bounds) - 1) + SLACK
@@ -75,7 +75,7 @@ def linked(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, left: np.ndarray,
     own = parts[block]
     key = own[:, min(2, own.shape[1] - 1)]
     order = np.argsort(key, kind="stable")
-    ids, weight, x, left, key = ids[order], weight[order], x[order], left[order], key[order]
+    ids, weight, x, left, right, key = ids[order], weight[order], x[order], left[order], right[order], key[order]
     parts = [p[order] for p in parts[: block + 1]]
     total, pairs = np.zeros(len(ids), np.int64), []
 
@@ -88,6 +88,7 @@ def linked(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, left: np.ndarray,
         u = rows[at : at + CHUNK]
         reach = np.sqrt(limit) + 1e-6
         v = np.arange(np.searchsorted(key, key[u[0]] - reach), np.searchsorted(key, key[u[-1]] + reach, side="right"))
+        v = v[right[v]]
         hit = (apart(block, u, v) <= limit) & (ids[u][:, None] < ids[v][None, :])
         us, vs = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
         if not len(us):
@@ -115,7 +116,7 @@ def matrix(column) -> np.ndarray:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", min_cos: float = 0.93, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """Per row: the id, n_links, component_id, kept."""
+    """Per row: the id, n_links, component_id, kept. Without an id: no links, and null for the last two."""
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.col(label_col).alias("_label"))
     sound = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
     # + 0.0 makes -0.0 and 0.0 the same vector
@@ -144,13 +145,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     key = ["_label", "_dim", "_block", "_cell"]
     crowded = dealt.groupBy(*key).agg(F.ceil(F.count("*") / tile).cast("int").alias("_parts")).filter("_parts > 1")
     dealt = dealt.join(crowded, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    dealt = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = dealt.withColumn("_left", F.col("_home") & (F.pmod(F.xxhash64("_rep"), "_parts") == F.col("_part")))
+    # a task for each part of the left with each of the right
+    parts = F.sequence(F.lit(0), F.col("_parts") - 1)
+    dealt = dealt.withColumn("_mine", F.pmod(F.xxhash64("_rep"), "_parts").cast("int"))
+    as_left = F.when(F.col("_home"), F.transform(parts, lambda j: F.col("_mine") * F.col("_parts") + j)).otherwise(F.array().cast("array<int>"))
+    as_right = F.transform(parts, lambda i: i * F.col("_parts") + F.col("_mine"))
+    dealt = dealt.withColumn("_part", F.explode(F.array_union(as_left, as_right)))
+    dealt = dealt.withColumn("_left", F.col("_home") & (F.floor(F.col("_part") / F.col("_parts")) == F.col("_mine")))
+    dealt = dealt.withColumn("_right", F.pmod("_part", "_parts") == F.col("_mine")).drop("_mine")
 
     def join(t: pa.Table) -> pa.Table:
         counts, edges = linked(
             t.column("_rep").to_numpy(), t.column("_w").to_numpy(), units(matrix(t.column("_v"))), t.column("_left").to_numpy(zero_copy_only=False),
-            t.column("_block")[0].as_py(), min_cos, blocks,
+            t.column("_right").to_numpy(zero_copy_only=False), t.column("_block")[0].as_py(), min_cos, blocks,
         )
         a, b = np.concatenate((counts[:, 0], edges[:, 0])), pa.array(np.concatenate((counts[:, 1], edges[:, 1])))
         return pa.table({"_a": pa.array(a), "_b": b, "_edge": pa.array(np.arange(len(a)) >= len(counts))})

@@ -57,6 +57,41 @@ def test_viterbi_is_the_best_labelling():
             assert value(a, got[a : a + n]) == pytest.approx(best, abs=1e-4)
 
 
+def test_scripts_are_ranges_of_code_points():
+    import pyarrow as pa
+
+    names = list(language.RANGES)
+    words = ["việt", "ngữ", "हिन्दी", "ไทย", "ქართული", "ខ្មែរ", "አማርኛ", "ελληνικά", "ἀρχή", "𠀀", "漢字かな", "한국어", "123", "“—”", "e\u0301te\u0301", "𝐱"]
+    want = ["Latin", "Latin", "Devanagari", "Thai", "Georgian", "Khmer", "Ethiopic", "Greek", "Greek", "Han", "Kana", "Hangul", "none", "none", "Latin"]
+    w = language.Words(pa.array([" ".join(words)]))
+    got = w.scripts().tolist()
+    assert [names[i] for i in got[:-1]] == want and got[-1] == language.OTHER
+    letters = [sum(c.isalpha() or 0x0900 <= ord(c) < 0x1800 for c in x) for x in words]  # there, vowel signs are marks
+    assert w.letters().tolist() == letters
+
+
+def test_languages_of_one_lead_byte(spark):
+    rng = np.random.default_rng(8)
+    own = {"hi": ["नमस्ते", "हिन्दी", "भाषा"], "th": ["ภาษา", "ไทย", "ครับ"], "vi": ["tiếng", "việt", "được", "ngữ"], "ka": ["ქართული", "ენა"]}
+    rows = [(i, " ".join(rng.choice(own[x], size=12)), x) for i in range(80) for x in [list(own)[i % 4]]]
+    rows += [(900, "हिन्दी भाषा नमस्ते ภาษา ไทย ครับ ไทย", None), (901, "अनजान शब्द", None), (902, "ქართული", None), (902, "ქართული", None), (903, "ελληνικά", None)]
+    got = {}
+    for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.fit(spark.createDataFrame(rows[:80], "doc_id long, text string, lang string"), "text", "lang", "doc_id")).collect():
+        assert got.setdefault(r.doc_id, r) == r  # rows that repeat get equal results
+    assert all(got[i].lang_pred == x for i, _, x in rows[:80])
+    assert [(s.first_word, s.last_word, s.lang) for s in got[900].spans] == [(0, 2, "hi"), (3, 6, "th")]
+    assert (got[901].lang_pred, got[902].lang_pred) == ("hi", "ka")  # unknown words, but of one language's script
+    assert got[903].lang_pred in own  # of no learned script: no candidate is ruled out
+
+
+def test_equal_scores_go_to_the_first_language():
+    import pyarrow as pa
+
+    counts, scripts = np.ones((2, 1 << language.BITS)), np.zeros((2, language.SCRIPTS))
+    scripts[:, 1] = 1
+    assert language.label(language.Model(["aa", "bb"], counts, scripts), pa.array(["some words", ""]))[0] == ["aa", "und"]
+
+
 def test_no_training_rows(spark, empty):
     df = spark.createDataFrame([(1, "text here", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.predict(df).collect()] == [("und", 0.0)]
@@ -92,6 +127,19 @@ def test_embeddings(spark, tile):
     assert sum(len(x) for x in links.values()) > 100
 
 
+def test_both_sides_of_a_tile_are_dealt(spark):
+    rng = np.random.default_rng(3)
+    x = np.eye(8)[0] + 0.01 * rng.normal(size=(240, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1, "mine") for i, row in enumerate(x)] + [(None, [1.0] * 8, 1, "x")], "vec_id long, embedding array<double>, label int, kept string")
+    out = {r.vec_id: r for r in embeddings.near_duplicates(df, tile=60).collect()}
+    assert all((out[i].n_links, out[i].component_id, out[i].kept) == (239, 0, i == 0) for i in range(240))
+    assert (out[None].n_links, out[None].component_id, out[None].kept) == (0, None, None)
+    ids, weight, flags = np.arange(240), np.ones(240, np.int64), np.arange(240) % 2 == 0
+    unit = embeddings.units(x)
+    parts = [embeddings.linked(ids, weight, unit, a, b, 0, 0.93, 1)[0] for a in (flags, ~flags) for b in (flags, ~flags)]
+    assert sum(int(p[:, 1].sum()) for p in parts) == 240 * 239
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
