@@ -13,19 +13,16 @@ from pyspark.sql import functions as F
 from eventmill.llm import jaccard, language, lines, packing, repeats
 from eventmill.llm.common import shared_folder
 
-#: A text goes if no language has this share of it; mixed texts stay.
-LEAST_SHARE = 0.3
-
 
 def like_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters (und) go, and those in which no language has a share of LEAST_SHARE."""
+    """Documents without text or letters (und) go. A low share of the first language is no reason: texts in several languages stay."""
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))), "text", "lang", "doc_id")
     out = language.identify(docs, model, with_spans=False)
-    return out.filter((F.col("lang_pred") != language.NO_LETTER) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    return out.filter(F.col("lang_pred") != language.NO_LETTER).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
