@@ -228,3 +228,18 @@ def test_pipeline(spark, documents, tmp_path):
     packed = p.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in packed}
     assert len(ids) == len(packed) < len(rows) and 0 in ids
+
+
+def test_language_stage_keeps_texts_in_many_languages(spark):
+    import corpus_pipeline as p
+
+    own = {"hi": "हिन्दी", "th": "ภาษา", "ka": "ქართული", "el": "ελληνικά", "ru": "слово"}
+    rows = [(i, f"{own[x]} " * 9, x) for i in range(60) for x in [list(own)[i % 5]]]
+    mixed = " ".join(f"{w} " * 9 for w in own.values())
+    rows += [(100, mixed, None), (100, mixed, None), (None, mixed, None), (101, None, "hi"), (102, "", "hi"), (103, "12 !?", "hi"), (None, "—", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = p.language_id(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [*range(60), 100, 100]
+    assert out.filter("doc_id IS NULL").count() == 1
+    assert p.language_id(spark, docs.limit(0), "").count() == 0
