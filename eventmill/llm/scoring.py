@@ -9,7 +9,7 @@ P(word | last word) = P(class | last class) P(word | class), smoothed.
    and for all classes, and move each word once to the class that its neighbours make likeliest.  In the first round, only the words of
    step 1 have classes; a word that never stands beside one (nor at a text's end) begins in a class by its hash, as exchange begins.
    In later rounds all neighbours have classes, and class bigrams are counted anew before each.
-   From the second round on, a bucket keeps its tokens as numbers, and its words are numbers of their owner.
+   Texts are read once: a bucket keeps its tokens as numbers of its words, and from the second round on, words are numbers of their owner.
 3. Each text is reduced to sums over its tokens and a table of class transitions; the training texts' tables are added up to the transition
    probabilities, by which all texts are scored.
 
@@ -24,13 +24,14 @@ stay, but those named like a result are replaced.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, forget, in_order, loose, owner, pack, partitions_for, persist, scatter, trimmed, unpack, utf8, word_hashes
+from .common import bucketed, chunks, forget, in_order, loose, owner, pack, partitions_for, persist, scatter, trimmed, unpack, utf8, whole, word_hashes
 
 HEADS, CLASSES, ROUNDS, SWEEPS = 768, 24, 6, 5
 #: Buckets for each partition: a round sends a blob from each bucket to each owner.
@@ -205,10 +206,13 @@ def likeliest(beside: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffles of earlier rounds. The scheduler holds on to the last job until another one has run."""
+    """Let Spark's cleaner drop shuffles of earlier rounds. The scheduler holds on to the last job until another one has run, and what it held is
+    found in the second or third collection only."""
     gc.collect()
-    spark.range(1).count()
-    spark._jvm.System.gc()
+    for _ in range(3):
+        spark.range(1).count()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 RESULTS = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
@@ -253,7 +257,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         place[order] = np.arange(len(order))
         return word[order], place[back], where, cut
 
+    def made_of(out: dict[str, list], rows: pa.Array | None = None) -> pa.Table:
+        """Blobs of a bucket, the first of which (_p = -1) holds its tokens and words as numbers, with its rows beside it."""
+        t = pa.table({"_p": pa.array(out["_p"], pa.int32()), "_b": pa.array(out["_b"], pa.int32()), "_x": pa.array(out["_x"], pa.binary())})
+        if rows is None:
+            return t
+        n = len(out["_p"])
+        return t.append_column("_rows", pa.ListArray.from_arrays(pa.array([0] + [len(rows)] * n, pa.int32()), rows))
+
     def entries(t: pa.Table) -> pa.Table:
+        """A bucket's tokens as numbers of its distinct words, and the first votes."""
         bucket = t.column("_b")[0].as_py()
         t, h, first, learns = read(t)
         word, back, where, cut = dealt_words(h)
@@ -261,7 +274,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         i = index_of(words, h)
         kind = np.where(i == common + 1, classes, own[i])
         out = ballots(bucket, [word, np.bincount(back[use], minlength=len(word))], where, cut, neighbours(back, kind, use & (h != END), len(word), classes))
-        return pa.table({"_p": pa.array(out["_p"], pa.int32()), "_b": pa.array(out["_b"], pa.int32()), "_x": pa.array(out["_x"], pa.binary())})
+        state = pack((back & 0xFFFF).astype(np.uint16), back >> 16, first, learns.astype(np.uint8), where, cut)
+        return made_of({"_p": [-1, *out["_p"]], "_b": [bucket, *out["_b"]], "_x": [state, *out["_x"]]}, loose(t.column("_row")))
 
     def parts_of(t: pa.Table):
         rows = sorted(zip(t.column("_b").to_pylist(), t.column("_x").to_pylist(), strict=True))
@@ -315,28 +329,25 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         out = ballots(bucket, [step], where.astype(np.int64), cut.astype(np.int64), neighbours(back, k, use & (back != end), len(step), classes))
         return {"_p": [*out["_p"], -2], "_b": [*out["_b"], bucket], "_x": [*out["_x"], pack(g)]}
 
-    def voted(out: dict[str, list]) -> pa.Table:
-        return pa.table({"_p": pa.array(out["_p"], pa.int32()), "_b": pa.array(out["_b"], pa.int32()), "_x": pa.array(out["_x"], pa.binary())})
-
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A bucket's tokens and words as numbers, with its rows (_p = -1), and its votes."""
+        """A bucket's tokens, and its words as numbers of their owners (_p = -1), and its votes."""
         if not left.num_rows:
-            return voted({"_p": [], "_b": [], "_x": []}).append_column("_rows", pa.array([], pa.list_(pa.null())))
+            return made_of({"_p": [], "_b": [], "_x": []}).append_column("_rows", pa.array([], pa.list_(pa.null())))
         bucket = left.column("_b")[0].as_py()
-        t, h, first, learns = read(left)
-        _, back, where, cut = dealt_words(h)
+        low, high, first, learns, where, cut = unpack(left.column("_x")[0].as_py())
         step, total, kind = (join(told(right), i) for i in range(3))
-        state = [(back & 0xFFFF).astype(np.uint16), back >> 16, first, learns.astype(np.uint8), step, total, where, cut]
+        state = [low, high, first, learns, step, total, where, cut]
         out = votes(bucket, state, kind)
-        n = len(out["_p"])
-        rows = loose(t.column("_row"))
-        out = voted({"_p": [-1, *out["_p"]], "_b": [bucket, *out["_b"]], "_x": [pack(*state), *out["_x"]]})
-        return out.append_column("_rows", pa.ListArray.from_arrays(pa.array([0] + [len(rows)] * (n + 1), pa.int32()), rows))
+        return made_of({"_p": [-1, *out["_p"]], "_b": [bucket, *out["_b"]], "_x": [pack(*state), *out["_x"]]}, loose(rows_of(left)))
+
+    def rows_of(t: pa.Table) -> pa.Array:
+        rows = whole(t.column("_rows"))
+        return (rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows).flatten()
 
     def again(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return voted({"_p": [], "_b": [], "_x": []})
-        return voted(votes(left.column("_b")[0].as_py(), unpack(left.column("_x")[0].as_py()), join(told(right), 0)))
+            return made_of({"_p": [], "_b": [], "_x": []})
+        return made_of(votes(left.column("_b")[0].as_py(), unpack(left.column("_x")[0].as_py()), join(told(right), 0)))
 
     def add(t: pa.Table) -> pa.Table:
         return pa.table({"g": t.column("g").slice(0, 1), "x": pa.array([pack(sum(unpack(x)[0].astype(np.int64) for x in t.column("x").to_pylist()))], pa.binary())})
@@ -356,13 +367,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     spark, schema = docs.sparkSession, "_p int, _b int, _x binary"
     kind_of_row = dealt.schema["_row"].dataType.simpleString()
-    blobs = dealt.groupBy("_b").applyInArrow(trimmed(entries), schema).repartition(partitions, "_p")
-    answers = persist(blobs.groupBy("_p").applyInArrow(trimmed(first_answer), "_b int, _p int, _x binary"))
+    with_rows = f"{schema}, _rows array<{kind_of_row}>"
+    begun = persist(dealt.groupBy("_b").applyInArrow(trimmed(entries), with_rows))
+    released(spark)
+    answers = persist(begun.filter("_p >= 0").select("_p", "_b", "_x").repartition(partitions, "_p").groupBy("_p").applyInArrow(trimmed(first_answer), "_b int, _p int, _x binary"))
     released(spark)
     tokens_in_all, words_in_all = summed(answers.filter("_b = -1").select("_x"), 2).tolist()
-    made = persist(dealt.groupBy("_b").cogroup(answers.filter("_b >= 0").repartition(partitions, "_b").groupBy("_b")).applyInArrow(trimmed(settle), f"{schema}, _rows array<{kind_of_row}>"))
+    back = answers.filter("_b >= 0").repartition(partitions, "_b").groupBy("_b")
+    made = persist(begun.filter("_p = -1").select("_b", "_x", "_rows").repartition(partitions, "_b").groupBy("_b").cogroup(back).applyInArrow(trimmed(settle), with_rows))
+    forget(begun), forget(answers)
     released(spark)
-    forget(answers)
     first_made, state = made, made.filter("_p = -1")
     for sweep in range(2, max(2, sweeps) + 1):
         g = summed(made.filter("_p = -2").select("_x"), classes * classes).reshape(classes, classes)
@@ -380,8 +394,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def reduce(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"n_tokens": [], "n_known": [], "_sum": [], "_known": [], "_moves": []}
-        rows = left.column("_rows").combine_chunks()
-        rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
         if left.num_rows:
             low, high, first, _, _, total, _, _ = unpack(left.column("_x")[0].as_py())
             back, kind = low.astype(np.int64) | high.astype(np.int64) << 16, join(told(right), 0)
@@ -401,7 +413,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 where_, n = np.unique(move[a:b], return_counts=True)
                 out["_moves"].append(pack(where_, n))
         return pa.table({
-            "_row": loose(rows.flatten()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
+            "_row": loose(rows_of(left)), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
             "_sum": pa.array(out["_sum"], pa.float64()), "_known": pa.array(out["_known"], pa.float64()), "_moves": pa.array(out["_moves"], pa.binary()),
         })
 
