@@ -1,8 +1,9 @@
 """Packing: length buckets with least padding, then batches within a token budget.
 
-The histogram of lengths over all documents is summed by Spark and goes to the driver: exactly up to EXACT distinct lengths, beyond that with
-cells of 12 significant bits above 4096 (under 2,048 for each doubling), each with its longest length.  There dynamic programming chooses the upper bounds of `buckets` buckets with least padding in all.  The
-cost satisfies the quadrangle inequality, so divide and conquer finds the optimum in K m log m steps.
+The histogram of lengths over all documents is summed by Spark and goes to the driver, whole and exact however many lengths there are: m
+lengths that differ have m (m + 1) / 2 tokens at least, so 10**12 tokens have under 1.5 million, of 16 bytes each.  There dynamic programming
+chooses the upper bounds of `buckets` buckets with least padding in all, in whole numbers.  The cost satisfies the quadrangle inequality, so
+divide and conquer finds the optimum in K m log m steps.  Of equally good bounds it takes the smaller, from the last bucket down.
 
 A batch holds rows of one bucket, each padded to the bucket's bound, up to `budget` tokens.  Rows are numbered
 inside (bucket, block), blocks being dealt by a hash of id and text, and blocks are put one after another by a
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import persist
 
-#: Distinct lengths up to which the histogram is exact; beyond, lengths over 2**FINE share a cell if they agree in FINE significant bits.
-EXACT, FINE = 16_384, 12
+#: Entries of the exact histogram that come to the driver at a time.
+EXACT = 16_384
 ROWS_PER_BLOCK = 20_000
 
 
@@ -31,11 +32,11 @@ def word_count(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
 
 
-def rounded(n: Column) -> Column:
-    """n up to 2**FINE; above, n rounded up to FINE significant bits."""
-    shift = F.greatest(F.lit(0), F.length(F.bin(n)) - FINE)
-    step = F.pow(F.lit(2.0), shift).cast("long")
-    return (F.ceil(n / step) * step).cast("long")
+def histogram(sized: DataFrame, at_once: int) -> np.ndarray:
+    """All lengths, ascending, with their counts (fields length and n); about `at_once` entries travel at a time."""
+    lengths = sized.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n"))
+    rows = lengths.repartition(lengths.count() // at_once + 1).toLocalIterator()
+    return np.sort(np.fromiter(map(tuple, rows), [("length", np.int64), ("n", np.int64)]), order="length")
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -43,24 +44,29 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     m = len(lengths)
     if m == 0:
         return []
-    x, c = lengths.astype(np.float64), np.concatenate(([0], np.cumsum(counts))).astype(np.float64)
-    s = np.concatenate(([0], np.cumsum(lengths * counts))).astype(np.float64)
-    # best[j]: least padding of the first j lengths; cost(i, j) puts lengths i .. j-1 under the bound lengths[j-1]
-    best, back = np.where(np.arange(m + 1) == 0, 0.0, np.inf), []
+    # padding is the room under the bounds less the tokens there are, so the least room is sought
+    far = int(lengths[-1]) * int(np.sum(counts)) + 1
+    whole = np.int64 if far < 1 << 62 else object  # Python's integers where 64 bits could overflow
+    x, c = np.asarray(lengths).astype(whole), np.concatenate(([0], np.cumsum(counts))).astype(whole)
+    # best[j]: least room for the first j lengths; lengths i .. j-1 under the bound lengths[j-1] take x[j-1] * (c[j] - c[i])
+    best, back = np.full(m + 1, far, whole), []
+    best[0] = 0
     for _ in range(min(buckets, m)):
-        new, arg = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        todo = [(1, m, 0, m - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
+        new, arg = best.copy(), np.zeros(m + 1, np.int64)
+        # ranges lo .. hi of j, whose best i are in a .. b: the middles of all ranges of a level at once
+        lo, hi, a, b = (np.array([v]) for v in (1, m, 0, m - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            v = best[i] + x[j - 1] * (c[j] - c[i]) - (s[j] - s[i])
-            k = int(np.argmin(v))
-            new[j], arg[j] = v[k], i[k]
-            todo += [(lo, j - 1, a, int(i[k])), (j + 1, hi, int(i[k]), b)]
-        new[0], best = 0.0, new
+            size = np.minimum(b, j - 1) - a + 1
+            start = np.cumsum(size) - size
+            i, of = np.arange(size.sum()) + np.repeat(a - start, size), np.repeat(j, size)
+            v = best[i] + x[of - 1] * (c[of] - c[i])
+            new[j] = np.minimum.reduceat(v, start)
+            least = np.flatnonzero(v == new[of])
+            k = arg[j] = i[least[np.searchsorted(least, start)]]
+            lo, hi, a, b = (np.concatenate(pair) for pair in ((lo, j + 1), (j - 1, hi), (a, k), (k, b)))
+            lo, hi, a, b = (v[left] for left in [lo <= hi] for v in (lo, hi, a, b))
+        best = new
         back.append(arg)
     bounds, j = [], m
     for arg in reversed(back):
@@ -72,16 +78,14 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, budget: int = 65_536, exact: int = EXACT) -> DataFrame:
-    """Per document: the id, n_tokens, bucket (from 0), bucket_len (its bound), batch (from 0 in each bucket), slot."""
+    """Per document: the id, n_tokens, bucket (from 0), bucket_len (its bound), batch (from 0 in each bucket), slot.
+
+    `exact` entries of the histogram come to the driver at a time; no result depends on it."""
     # checkpointed: texts are read and counted once, and no later expression repeats the count
     sized = persist(docs.select(F.col(id_col), word_count(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h")))
-    histogram = sized.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n"))
-    counts = histogram.limit(exact + 1).collect()
-    if len(counts) > exact:  # a cell's length is the longest in it, so bounds are lengths that occur
-        counts = histogram.groupBy(rounded(F.col("length")).alias("cell")).agg(F.max("length").alias("length"), F.sum("n").alias("n")).collect()  # bounded by rounded()
-    counts.sort(key=lambda r: r["length"])
-    bounds = best_bounds(np.array([r["length"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64), buckets)
-    blocks = sum(r["n"] for r in counts) // ROWS_PER_BLOCK + 1
+    lengths = histogram(sized, exact)
+    bounds = best_bounds(lengths["length"], lengths["n"], buckets)
+    blocks = int(lengths["n"].sum()) // ROWS_PER_BLOCK + 1
     edge = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(1).cast("long"))
     sized = sized.withColumn("bucket", F.size(F.filter(edge, lambda b: b < F.col("n_tokens")))).withColumn("_block", F.pmod("_h", F.lit(blocks)))
     row = Window.partitionBy("bucket", "_block").orderBy(F.col(id_col).asc_nulls_first(), "_h")

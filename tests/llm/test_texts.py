@@ -171,6 +171,29 @@ def test_best_bounds():
         assert len(got) == 3 and cost(got) == best
 
 
+def test_packing_knows_every_length(spark):
+    # lengths 5000 .. 5039, each once: the best of 4 buckets hold 10 each, whatever comes to the driver at a time
+    docs = spark.createDataFrame([(n, "a " * (n - 1)) for n in range(5000, 5040)], "doc_id long, text string")
+    few = packing.pack(docs, buckets=4, exact=3).collect()
+    assert {r.bucket_len for r in few} == {5009, 5019, 5029, 5039}
+    assert {r.doc_id: r.bucket_len for r in few} == {n: n // 10 * 10 + 9 for n in range(5000, 5040)}
+    assert sorted(few) == sorted(packing.pack(docs, buckets=4).collect())
+
+
+def test_best_bounds_in_whole_numbers():
+    rng = np.random.default_rng(4)
+    for k in (1, 2, 5, 90):
+        x, n = np.sort(rng.choice(10_000, size=80, replace=False)) + 1, rng.integers(1, 99, size=80)
+        best = [0] + [10**12] * 80  # plainly, by trying each last bucket
+        for _ in range(k):
+            best = [0] + [min(best[i] + int(x[j - 1] * n[i:j].sum() - (x * n)[i:j].sum()) for i in range(j)) for j in range(1, 81)]
+        got = packing.best_bounds(x, n, k)
+        assert len(got) == min(k, 80) and sum(int(c) * (min(b for b in got if b >= v) - int(v)) for v, c in zip(x, n, strict=True)) == best[80]
+        assert packing.best_bounds(x, n * 10**14, k) == got  # beyond what 64 bits hold
+    # the padding is 2**55 - 1 or 2**55: as doubles they are equal
+    assert packing.best_bounds(np.array([1, 2, 3]), np.array([2**55 - 1, 2**55, 1]), 2) == [2, 3]
+
+
 def test_media(docs, documents):
     got = {r.doc_id: r for r in media.media_features(docs).collect()}
     for d, t in documents:
