@@ -230,6 +230,15 @@ def test_pipeline(spark, documents, tmp_path):
     assert len(ids) == len(packed) < len(rows) and 0 in ids
 
 
+def test_packing_stage_knows_every_length(spark):
+    import corpus_pipeline as p
+
+    # lengths 1 .. 16,560, each once: the best of 16 buckets hold 1,035 each
+    docs = spark.range(16_560, numPartitions=16).select(F.col("id").alias("doc_id"), F.expr("repeat('a ', cast(id AS int))").alias("text"))
+    out = p.pack(spark, docs, "").groupBy("bucket", "bucket_len").agg(F.count("*").alias("n"), F.max("n_tokens").alias("most")).collect()
+    assert sorted(map(tuple, out)) == [(k, 1035 * (k + 1), 1035, 1035 * (k + 1)) for k in range(16)]
+
+
 def test_language_stage_keeps_texts_in_many_languages(spark):
     import corpus_pipeline as p
 
