@@ -5,26 +5,27 @@ lengths that differ have m (m + 1) / 2 tokens at least, so 10**12 tokens have un
 chooses the upper bounds of `buckets` buckets with least padding in all, in whole numbers.  The cost satisfies the quadrangle inequality, so
 divide and conquer finds the optimum in K m log m steps.  Of equally good bounds it takes the smaller, from the last bucket down.
 
-A batch holds rows of one bucket, each padded to the bucket's bound, up to `budget` tokens.  Rows are numbered
-inside (bucket, block), blocks being dealt by a hash of id and text, and blocks are put one after another by a
-running sum over the small table of their sizes.  So no task sees a whole bucket, however many rows it has.
-
-Cases: null and empty texts have one token (the end).  A text longer than the budget is a batch of its own.  Ties
-and repeated rows are ordered by id, then by the text's hash; rows equal in both are interchangeable.  An empty table
-gives an empty result.
+A batch holds rows of one bucket, each padded to the bucket's bound, up to `budget` tokens.  A bucket's rows fill its
+batches in order of id, whatever the number of rows, blocks or tasks: one range exchange sorts all rows by bucket and id,
+partitions follow each other by a running sum over the small table of their sizes, and the histogram says where each
+bucket begins.  So no task sees a whole bucket, however many rows it has.
+
+Cases: null and empty texts have one token (the end).  A text longer than the budget is a batch of its own.  Rows
+without an id come first; rows of one id are ordered by the text's hash; rows equal in both are interchangeable.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.orders import ranked
 from .common import persist
 
 #: Entries of the exact histogram that come to the driver at a time.
 EXACT = 16_384
-ROWS_PER_BLOCK = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -85,19 +86,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     sized = persist(docs.select(F.col(id_col), word_count(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h")))
     lengths = histogram(sized, exact)
     bounds = best_bounds(lengths["length"], lengths["n"], buckets)
-    blocks = int(lengths["n"].sum()) // ROWS_PER_BLOCK + 1
+    upto = np.concatenate(([0], np.cumsum(lengths["n"])))
     edge = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(1).cast("long"))
-    sized = sized.withColumn("bucket", F.size(F.filter(edge, lambda b: b < F.col("n_tokens")))).withColumn("_block", F.pmod("_h", F.lit(blocks)))
-    row = Window.partitionBy("bucket", "_block").orderBy(F.col(id_col).asc_nulls_first(), "_h")
-    before = (
-        sized.groupBy("bucket", "_block").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(Window.partitionBy("bucket").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("bucket", "_block", F.coalesce("_before", F.lit(0)).alias("_before"))
-    )
+    # rows in the buckets before each
+    begin = F.array(*[F.lit(int(n)).cast("long") for n in upto[np.searchsorted(lengths["length"], [0, *bounds[:-1]], side="right")]])
+    sized = sized.withColumn("bucket", F.size(F.filter(edge, lambda b: b < F.col("n_tokens"))))
     length = F.element_at(edge, F.col("bucket") + 1)
     per = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / length))
-    at = F.col("_before") + F.col("_row") - 1
+    at = F.col("_place") - 1 - F.element_at(begin, F.col("bucket") + 1)
     return (
-        sized.withColumn("_row", F.row_number().over(row)).join(before, ["bucket", "_block"])
+        ranked(sized, F.col("bucket"), F.col(id_col).asc_nulls_first(), F.col("_h"), name="_place")
         .select(F.col(id_col), "n_tokens", "bucket", length.alias("bucket_len"), F.floor(at / per).cast("long").alias("batch"), (at % per).cast("long").alias("slot"))
     )

@@ -239,6 +239,31 @@ def test_packing_stage_knows_every_length(spark):
     assert sorted(map(tuple, out)) == [(k, 1035 * (k + 1), 1035, 1035 * (k + 1)) for k in range(16)]
 
 
+@pytest.mark.parametrize("tasks", ["2", "7"])
+def test_packing_stage_fills_batches_by_id_however_many_rows(spark, tasks):
+    import corpus_pipeline as p
+
+    # 30,000 rows of 20 lengths, dealt out of order; without an id, repeated, and with one id among them
+    rows = [(i * 7919 % 30_011, i % 20) for i in range(30_000)]
+    rows += [(None, 3), (None, 3), (None, 19), (5, 4), (5, 4), (40_000, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, n int").select("doc_id", F.expr("repeat('a ', n)").alias("text"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        out = p.pack(spark, docs, "").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in out) == sorted((-1 if d is None else d, n + 1) for d, n in rows)
+    assert len({r.bucket for r in out}) == 16
+    for k in range(16):
+        own = [r for r in out if r.bucket == k]
+        per = 65_536 // own[0].bucket_len
+        own.sort(key=lambda r: (r.batch, r.slot))
+        assert [(r.batch, r.slot) for r in own] == [divmod(i, per) for i in range(len(own))]
+        ids = [-1 if r.doc_id is None else r.doc_id for r in own]
+        assert ids == sorted(ids)
+
+
 def test_language_stage_keeps_texts_in_many_languages(spark):
     import corpus_pipeline as p
 
