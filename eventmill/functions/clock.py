@@ -58,6 +58,11 @@ def epoch(utc_clock: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), utc_clock)
 
 
+def older(local: Column, now: Column, hours: int) -> Column:
+    """More than so many hours before now, to the last fraction of a second."""
+    return local < F.timestamp_add("HOUR", F.lit(-hours), now)
+
+
 def is_weekend(local: Column) -> Column:
     return F.weekday(local) >= 5
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import older
+
 
 def stable_id(source: Column, key: Column) -> Column:
     """source, and 12 hex digits of the SHA-1 of source and key."""
@@ -75,7 +77,7 @@ def verification(provenance: Column, verified_on: Column, today: Column, limit:
 
 
 def is_stale(last_seen: Column, now: Column, hours: int = 48) -> Column:
-    return F.coalesce(F.timestamp_diff("SECOND", last_seen, now) > hours * 3600, F.lit(False))
+    return F.coalesce(older(last_seen, now, hours), F.lit(False))
 
 
 def city_key(online: Column, city: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import clock
 from ..operators import derive, filters, resolve
 
 #: Statuses whose last rows are kept, in place of the run's.
@@ -88,7 +89,7 @@ def warnings(report: DataFrame) -> DataFrame:
 
 def freshness(report: DataFrame, generated_at: Column, now: Column, hours: int = 48) -> DataFrame:
     """One row: the oldest success, and whether the page itself is too old."""
-    late = F.timestamp_diff("SECOND", generated_at, now) > hours * 3600
+    late = clock.older(generated_at, now, hours)
     return report.agg(F.min("last_success").alias("oldest_success"), F.count_if(F.col("status") != "ok").alias("degraded")).withColumn("late", late)
 
 

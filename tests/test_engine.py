@@ -286,3 +286,15 @@ def test_themes_at_the_edge_of_other_scripts(spark, tmp_path):
     texts = ["law\u00e9", "\u00e9law", "law\u0301", "law\u0663", "law"]  # the engine's own taxonomies take words of all scripts
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(careers(F.col("t")).alias("c")).orderBy("i").collect()
     assert [bool(r.c) for r in got] == [False, False, True, False, True]
+
+
+def test_stale_to_the_microsecond(spark, tmp_path):
+    from eventmill.plans import reconcile
+
+    times = ["2024-01-05 23:59:59", "2024-01-05 23:59:59.000001", "2024-01-05 23:59:59.999999", "2024-01-06 00:00:00", "2024-01-06 00:00:00.000001", "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999", None]
+    rows_ = spark.createDataFrame(list(enumerate(times)), "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows_.write.parquet(str(tmp_path / "events.parquet"))
+    matches_sql(spark, "row_staleness", tmp_path, "events")
+    report = spark.createDataFrame([("a", "ok", "x")], "key string, status string, last_success string")
+    late = lambda at: reconcile.freshness(report, F.lit(at).cast("timestamp_ntz"), F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")).first().late
+    assert late("2024-01-05 23:59:59.5") is True and late("2024-01-06 00:00:00") is False
