@@ -16,7 +16,7 @@ from ..functions.text import cache_key, labels_of_reply
 from ..sources.scans import snapshot
 from ..taxonomy import CAREERS
 from . import reconcile
-from .storage import exists, replace, settle
+from .storage import exists, replace, settle, stored
 
 CACHE_SCHEMA = "key string, labels array<string>, model string, prompt_version string"
 VERSION = "1"
@@ -44,14 +44,18 @@ def answered(cache: DataFrame, replies: DataFrame, model: str, version: str) ->
     return cache.join(new, "key", "left_anti").select("key", "labels", "model", "prompt_version").unionByName(new)
 
 
-def retag_published(spark: SparkSession, path: str, cache: DataFrame, model: str, version: str) -> DataFrame:
-    """Rewrite a snapshot's events with the cache's labels; sources and header stay. Without entries nothing is touched."""
+def retag_published(spark: SparkSession, path: str, cache: DataFrame, model: str, version: str, compression: str | None = None) -> DataFrame:
+    """Rewrite a snapshot's events with the cache's labels; sources and header stay. Without entries nothing is touched.
+
+    Only the entries are kept on the way: a cache that fits in memory goes to the events, which then aren't moved. They are read from
+    one folder and written to another, which takes the first one's place when it is whole."""
     from .sinks import write_events
 
-    live = cache.filter((F.col("model") == model) & (F.col("prompt_version") == version))
-    if live.limit(1).count():
-        write_events(settle(reconcile.retag(snapshot(spark, path), live, key_of(model, version))), f"{path}/events.new")
-        replace(spark, f"{path}/events.new", f"{path}/events")
+    live = cache.filter((F.col("model") == model) & (F.col("prompt_version") == version)).select("key", "labels")
+    with stored(live) as entries:
+        if entries.limit(1).count():
+            write_events(reconcile.retag(snapshot(spark, path), entries, key_of(model, version)), f"{path}/events.new", compression)
+            replace(spark, f"{path}/events.new", f"{path}/events")
     return snapshot(spark, path)
 
 

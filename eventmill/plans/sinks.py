@@ -90,16 +90,16 @@ def write_calendar(events: DataFrame, path: str, stamp: str) -> None:
     entries.mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Events as JSON without empty fields."""
-    derive.without_empty(events).write.mode("overwrite").option("ignoreNullFields", True).json(path)
+def write_events(events: DataFrame, path: str, compression: str | None = None) -> None:
+    """Events as JSON without empty fields; plain, or compressed (gzip) where only an engine reads them."""
+    derive.without_empty(events).write.mode("overwrite").option("ignoreNullFields", True).json(path, compression=compression)
 
 
-def write_snapshot(events: DataFrame, reports: DataFrame, path: str, header: dict) -> None:
+def write_snapshot(events: DataFrame, reports: DataFrame, path: str, header: dict, compression: str | None = None) -> None:
     """events/ and sources/ as JSON without empty fields, and header.json, written to one side and then renamed."""
     spark = events.sparkSession
     side = f"{path}.new"
-    write_events(events, f"{side}/events")
+    write_events(events, f"{side}/events", compression)
     reports.write.mode("overwrite").option("ignoreNullFields", True).json(f"{side}/sources")
     spark.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{side}/header")
     replace(spark, side, path)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """Rows worked out once, into a file in the shared folder, so that the planner knows their true size; gone in the end."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        fs, at = located(spark, path)
+        fs.delete(at, True)
+
+
 def located(spark: SparkSession, path: str):
     """The file system of a path, and the path for it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -298,3 +298,38 @@ def test_stale_to_the_microsecond(spark, tmp_path):
     report = spark.createDataFrame([("a", "ok", "x")], "key string, status string, last_success string")
     late = lambda at: reconcile.freshness(report, F.lit(at).cast("timestamp_ntz"), F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")).first().late
     assert late("2024-01-05 23:59:59.5") is True and late("2024-01-06 00:00:00") is False
+
+
+def stages(spark):
+    """Of each stage that ran: MB shuffled, spilled and written, by its number."""
+    sc = spark.sparkContext
+    gateway = sc._gateway
+    seen = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {s.stageId(): (s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes()) / 1e6 for s in map(seen.apply, range(seen.size()))}
+
+
+def test_retagging_moves_little(spark):
+    """Events are written twice, not shuffled with their labels or written between, and worked out once."""
+    before = max(stages(spark), default=-1)
+    got = registry.queries()["retag_publish"](spark, "/root/testdata/sf0.01")
+    n = got.count()
+    moved = sum(mb for i, mb in stages(spark).items() if i > before)
+    assert n == 15_000 and moved * 1e6 / n < 300  # bytes an event
+
+
+def test_retagging_by_an_empty_title_and_a_large_cache(spark, tmp_path):
+    """A cache that is too large to send to the events gives the same labels; its folder in between goes."""
+    from eventmill.plans import classify
+    from eventmill.run_queries import MODEL, PROMPT, entries
+
+    path, threshold = str(tmp_path / "snap"), "spark.sql.autoBroadcastJoinThreshold"
+    got, was = [], spark.conf.get(threshold)
+    for most, form in ((was, None), ("-1", "gzip")):
+        sinks.write_snapshot(rows(spark, {"title": "", "careers": ["Law & justice"]}, {"id": "b", "title": "xx", "careers": ["Law & justice"]}, {"id": "c", "title": "x", "careers": ["Law & justice"]}), spark.createDataFrame([("a", "ok")], "key string, status string"), path, {}, form)
+        spark.conf.set(threshold, most)
+        try:
+            out = classify.retag_published(spark, path, entries(scans.snapshot(spark, path)), MODEL, PROMPT, form)
+            got.append({r.id: r.careers for r in out.collect()})
+        finally:
+            spark.conf.set(threshold, was)
+    assert got[0] == got[1] == {"a-1": [], "b": ["Engineering"], "c": ["Law & justice"]}
